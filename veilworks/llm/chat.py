@@ -150,7 +150,7 @@ OP8_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-sized AS (SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\1\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\1\\|', 'g')) + 24 - 1 AS n FROM rows)
+sized AS (SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\1\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\1\\|', 'g')) + 24 AS n FROM rows)
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
