@@ -10,7 +10,8 @@ full sets of both texts.
 
 What a group of near copies costs stays in proportion to its size: a node gives a star over those
 that are surely alike and a spanning forest of the rest. A second round compares, within each node,
-all that confirmed links have not joined, so a failed confirmation hides no link.
+all that confirmed links have not joined, so a failed confirmation hides no link: such documents are
+dealt into blocks, and each pair of blocks counts its intersections at once, on full sets.
 """
 
 from __future__ import annotations
@@ -124,8 +125,8 @@ def branch(nodes: DataFrame, threshold: float) -> DataFrame:
 
 def node_pairs(rep: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, low: float, sure: float, strip: int = 512) -> list[tuple[int, int]]:
     """Candidate pairs of one node. First round (comp None): a star over each part that `sure` agreement
-    joins, and the strongest links of a spanning forest over the parts. Second round: all pairs of
-    agreement `low` or more whose components differ."""
+    joins, and the strongest links of a spanning forest over the parts. Second round: a spanning forest
+    of the pairs of agreement `low` or more whose components differ."""
     n = len(rep)
     out: list[tuple[int, int]] = []
     parent = list(range(n))
@@ -150,7 +151,9 @@ def node_pairs(rep: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, low: f
             i, j = i[keep], j[keep]
             if comp is not None:
                 differ = comp[i + a] != comp[j + b]
-                out += list(zip(rep[j[differ] + b].tolist(), rep[i[differ] + a].tolist(), strict=True))
+                for x, y in zip((i[differ] + a).tolist(), (j[differ] + b).tolist(), strict=True):
+                    rx, ry = root(x), root(y)
+                    parent[max(rx, ry)] = min(rx, ry)
                 continue
             value = agree[i, j]
             strong = value >= sure * POSITIONS
@@ -160,9 +163,9 @@ def node_pairs(rep: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, low: f
                 if rx != ry:
                     parent[max(rx, ry)] = min(rx, ry)
             weak += list(zip(value[~strong].tolist(), (i[~strong] + a).tolist(), (j[~strong] + b).tolist(), strict=True))
+    out += [(int(rep[root(i)]), int(rep[i])) for i in range(n) if root(i) != i]
     if comp is not None:
         return out
-    out += [(int(rep[root(i)]), int(rep[i])) for i in range(n) if root(i) != i]
     for _, x, y in sorted(weak, key=lambda w: (-w[0], w[1], w[2])):
         rx, ry = root(x), root(y)
         if rx != ry:
@@ -234,6 +237,66 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int
     return texts.groupBy("a", "block").applyInArrow(run, "a long, b long")
 
 
+def confirm_rest(alike: DataFrame, joined: DataFrame, docs: DataFrame, k: int, percent: int, block: int = 192) -> DataFrame:
+    """Links (a, b) among documents that `alike` (a, b) ties into groups and `joined` leaves in several components.
+
+    In a group the members of all but one component are the strays. Every block of strays meets every
+    block of the group; a pair of blocks gives the links that join components, at most one a member.
+    """
+    groups = components(alike).withColumnRenamed("component", "group")
+    members = groups.join(joined, "node", "left").select("group", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
+    sizes = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n"))
+    per = sizes.groupBy("group").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("main")).select(
+        "group", F.col("main.comp").alias("main"), F.ceil(F.col("all") / block).cast("long").alias("n_all"), F.ceil((F.col("all") - F.col("main.n")) / block).cast("long").alias("n_stray")
+    )
+    known = settle(members.join(per, "group").withColumn("h", F.xxhash64("rep")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    strays = known.filter("comp <> main").select("group", "rep", "comp", F.pmod("h", "n_stray").alias("s"), upto("n_all").alias("r"), F.lit(True).alias("stray"))
+    rest = known.select("group", "rep", "comp", upto("n_stray").alias("s"), F.pmod("h", "n_all").alias("r"), F.lit(False).alias("stray"))
+    texts = strays.unionByName(rest).join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")), "rep")
+
+    def run(t: pa.Table) -> pa.Table:
+        rep, comp, stray = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "stray"))
+        sets = shingle_sets(*flat(t.column("text")), k)
+        size = np.array([len(s) for s in sets])
+        x, y = np.flatnonzero(stray), np.flatnonzero(~stray)
+        both = np.zeros((len(x), len(y)), np.float32)
+        if len(x) and len(y):
+            place = np.zeros(len(rep), np.int64)
+            place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+            _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(count[code] > 1)
+            code, owner = code[shared], np.repeat(np.arange(len(sets)), size)[shared]
+            _, code = np.unique(code, return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            code, owner = code[order], owner[order]
+            width = 1 << 14
+            for low in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+                a, b = np.searchsorted(code, [low, low + width])
+                left, right = np.zeros((len(x), width), np.float32), np.zeros((len(y), width), np.float32)
+                o, c = owner[a:b], code[a:b] - low
+                left[place[o[stray[o]]], c[stray[o]]] = 1
+                right[place[o[~stray[o]]], c[~stray[o]]] = 1
+                both += left @ right.T
+        i, j = np.nonzero(100 * both.astype(np.int64) >= percent * (size[x][:, None] + size[y][None, :] - both.astype(np.int64)))
+        head: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in head:
+                c = head[c]
+            return c
+
+        out = []
+        for p, q in zip(x[i].tolist(), y[j].tolist(), strict=True):
+            rp, rq = root(int(comp[p])), root(int(comp[q]))
+            if rp != rq:
+                head[max(rp, rq)] = min(rp, rq)
+                out.append((int(rep[p]), int(rep[q])))
+        return pa.table({"a": pa.array([min(o) for o in out], pa.int64()), "b": pa.array([max(o) for o in out], pa.int64())})
+
+    return texts.groupBy("group", "s", "r").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 12, depth: int = 3, small: int = 256, slack: float = 0.2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document.
 
@@ -283,10 +346,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     stray = stray.select(F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("i"), "node", "rep", "sig").select(block(F.col("i")).alias("node"), "rep", "sig")
     again = tag(compared.unionByName(stray).distinct())
     mixed = again.groupBy("node").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("node")
-    second = compare_nodes(again.join(mixed, "node"), low, sure, True).join(first, ["a", "b"], "left_anti")
-    second = settle(second)
+    second = settle(compare_nodes(again.join(mixed, "node"), low, sure, True))
     if not second.isEmpty():
-        joined = settle(components(links.unionByName(confirm(second, named, k, percent))))
+        joined = settle(components(links.unionByName(confirm_rest(second, joined, named, k, percent))))
     classes = reps.select("digest", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("_class"))
     out = known.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("_class", "doc_id").alias("component_id"))
     alone = describe(docs.filter("doc_id IS NULL"), k, threshold, trees).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
