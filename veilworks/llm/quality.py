@@ -104,7 +104,7 @@ def collect_rows(sample: DataFrame, bits: int) -> list[tuple[np.ndarray, int]]:
     return [(np.frombuffer(r["grams"], np.int32), r["label"]) for r in sorted(got, key=lambda r: (r["doc_id"], bytes(r["grams"])))]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = 3000, bits: int = 18, modulus: int = 3, held_out: int = 1) -> FtrlModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = 1500, bits: int = 18, modulus: int = 3, held_out: int = 1) -> FtrlModel:
     """A model from at most `bound` labelled rows of each class; held-out rows never enter."""
     rows = collect_rows(labelled_sample(docs, labels, "quality", modulus, held_out, bound), bits)
     if not rows:
