@@ -1,4 +1,9 @@
 """All queries of the library by name, and the SQL that states each of them for DuckDB."""
 
+from veilworks.plans import detection
+
 QUERIES: dict = {}
 SQL: dict = {}
+for part in (detection,):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
