@@ -1,9 +1,9 @@
 """All queries of the library by name, and the SQL that states each of them for DuckDB."""
 
-from veilworks.plans import detection
+from veilworks.plans import cloaking, detection, documents
 
 QUERIES: dict = {}
 SQL: dict = {}
-for part in (detection,):
+for part in (detection, cloaking, documents):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
