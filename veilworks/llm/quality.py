@@ -95,7 +95,7 @@ def collect_rows(sample: DataFrame, bits: int) -> list[tuple[np.ndarray, int]]:
     """The sample's n-grams on the driver: texts are reduced to buckets where they lie."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=1 << 19):
             got, at = ngrams(*flat(b.column("text")), bits)
             packed = [got[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), b.column("label").cast(pa.int32())], ["doc_id", "grams", "label"])
@@ -129,7 +129,7 @@ def score_quality(docs: DataFrame, model: FtrlModel, threshold: float = 0.5) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=1 << 19):
             s = score_texts(shared.value, *flat(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
