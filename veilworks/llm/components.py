@@ -9,7 +9,7 @@ from veilworks.llm.engine import settle
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of links (a, b) reaches.
+    """(node, component): the smallest node that each node of links (a, b) reaches, itself included.
 
     Large and small stars in turn until nothing changes; each step is written to the shared folder.
     The number of links never grows, and no node gathers its links in one row.
@@ -31,5 +31,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = settle(small)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+            leaves = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+            return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
         last = now

@@ -251,7 +251,7 @@ def finish(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, chunk_bytes: int = 12 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, chunk_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, removed spans of words, kept_text) of each row of docs.
 
     A word goes if a window of `window` consecutive words that covers it also starts in a document of
