@@ -110,24 +110,65 @@ def companies(docs: DataFrame) -> DataFrame:
 def detect_regex(docs: DataFrame) -> DataFrame:
     """(doc_id, entity_type, text, confidence, count, ord) of every detector, without NER.
 
-    ord ranks detectors and breaks ties between types."""
-    base = structured(docs)
-    rank = F.element_at(F.create_map(*[x for i, (t, _, _) in enumerate(P.STRUCTURED) for x in (F.lit(t), F.lit(i))]), F.col("entity_type"))
-    address = base.filter("entity_type = 'ADDRESS'")
-    cities = locations(docs, address)
-    roads = streets(docs, address.unionByName(cities.select(*address.columns)))
-
-    def part(df: DataFrame, confidence: float, order) -> DataFrame:
-        return df.select("doc_id", "entity_type", "text", F.lit(confidence).alias("confidence"), F.col("count").cast("long"), (order if isinstance(order, Column) else F.lit(order)).cast("int").alias("ord"))
-
+    ord ranks detectors and breaks ties between types. What one detector leaves to another is decided
+    within the document, on arrays: the text is read once, each pattern runs once, and the only
+    exchange is on doc_id, which all later steps share.
+    """
+    kinds = [t.lower() for t, _, _ in P.STRUCTURED]
+    text = F.col("text")
+    shape = P.COMPANY + r"(?=([\s\S]{0,200}))"
+
+    def family(patterns, group):
+        return F.flatten(F.array(*[F.transform(all_matches(text, p, group), lambda m: F.trim(m)) for p in patterns.values()]))
+
+    arrays = {
+        **{k: all_matches(text, p, g) for k, (_, p, g) in zip(kinds, P.STRUCTURED, strict=True)},
+        "person": family(P.PERSON, 1), "date": family(P.DATE, 0), "city": family(P.CITY_STATE, 1), "street": F.transform(all_matches(text, P.STREET, 1), lambda m: F.trim(m)),
+        "bare": F.array_distinct(all_matches(text, P.BARE_AMOUNT, 1)), "raw": all_matches(text, shape, 1), "tail": all_matches(text, shape, 2),
+    }
+    # a generator between the steps keeps each array computed once
+    got = docs.select("doc_id", "text", F.inline(F.array(F.struct(*[c.alias(k) for k, c in arrays.items()]))))
+    absent = lambda known, hit: ~F.exists(known, hit)
+    city = F.filter("city", lambda c: absent(F.col("address"), lambda a: a.contains(c)))
+    stop = F.array(*[F.lit(w) for w in P.PERSON_STOP])
+    company = F.filter(
+        F.transform(F.arrays_zip("raw", "tail"), lambda m: F.struct(F.regexp_replace(F.regexp_replace(F.trim(m["raw"]), ",+$", ""), r"\.+$", "").alias("name"), m["tail"].alias("tail"))),
+        lambda m: acceptable_company(m["name"], m["tail"]) & ~F.regexp_replace(m["name"], r"(?U)[\s,.\-]+", "").isin(P.LEGAL_ABBREVIATIONS),
+    )
+    settled = {
+        "url": F.filter("url", lambda u: absent(F.col("email"), lambda e: e.contains(u))),
+        "city": city,
+        "person": F.filter("person", lambda n: ~n.rlike(r"^\p{Ll}") & ~F.arrays_overlap(F.split(n, r"(?U)\s+"), stop)),
+        "bare": F.filter("bare", lambda x: ~F.array_contains("amount", x)),
+        "company": F.transform(company, lambda m: m["name"]),
+    }
+    keep = [k for k in [*kinds, "date", "street"] if k != "url"]
+    got = got.select("doc_id", "text", F.inline(F.array(F.struct(*keep, *[c.alias(k) for k, c in settled.items()]))))
+    first_seen = F.filter("city", lambda c, i: F.when(i == 0, True).otherwise(~F.exists(F.slice("city", F.lit(1), i), lambda b: F.lower(b) == F.lower(c))))
+    known = F.concat("address", first_seen)
+    street = F.filter("street", lambda x: absent(known, lambda a: a.contains(x) | x.contains(a)))
+
+    def rows(values, kind: str, order: int, confidence: float, times=None):
+        def row(m, i):
+            n = F.lit(1).cast("long") if times is None else times(m)
+            return F.struct(F.lit(kind).alias("entity_type"), F.lit(order).alias("ord"), F.lit(confidence).alias("confidence"), i.alias("pos"), m.alias("match"), n.alias("n"))
+
+        return F.transform(values, row)
+
+    substring_count = lambda m: ((F.length("text") - F.length(F.replace("text", m))) / F.length(m)).cast("long")
+    every = F.flatten(
+        F.array(
+            *[rows(F.col(k), t, i, 1.0) for i, (k, (t, _, _)) in enumerate(zip(kinds, P.STRUCTURED, strict=True))],
+            rows(F.col("person"), "PERSON", 7, 1.0), rows(F.col("date"), "DATE", 8, 1.0), rows(F.col("city"), "ADDRESS", 9, 0.9), rows(street, "ADDRESS", 10, 0.9),
+            rows(F.col("bare"), "AMOUNT", 11, 0.9, substring_count), rows(F.col("company"), "COMPANY", 12, 1.0),
+        )
+    )
+    found = got.select("doc_id", F.inline(every)).repartition("doc_id")
+    key = F.when(F.col("ord").isin(9, 10, 12), F.lower("match")).otherwise(F.col("match"))
     return (
-        part(base, 1.0, rank)
-        .unionByName(part(count_matches(people(docs)), 1.0, 7))
-        .unionByName(part(count_matches(dates(docs)), 1.0, 8))
-        .unionByName(part(cities, 0.9, 9))
-        .unionByName(part(roads, 0.9, 10))
-        .unionByName(part(bare_amounts(docs, base.filter("entity_type = 'AMOUNT'")), 0.9, 11))
-        .unionByName(part(companies(docs), 1.0, 12))
+        found.groupBy("doc_id", "entity_type", "ord", "confidence", key.alias("_key"))
+        .agg(F.min_by("match", "pos").alias("text"), F.sum("n").alias("count"))
+        .select("doc_id", "entity_type", "text", "confidence", F.col("count").cast("long"), "ord")
     )
 
 
