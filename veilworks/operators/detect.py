@@ -37,8 +37,7 @@ def structured(docs: DataFrame) -> DataFrame:
 def people(docs: DataFrame) -> DataFrame:
     """Person matches of all five contexts, without lower-case starts and stop words."""
     got = extract(docs, [("PERSON", p, 1) for p in P.PERSON.values()]).withColumn("match", F.trim("match"))
-    words = F.split("match", r"(?U)\s+")
-    return got.filter(~F.col("match").rlike(r"^\p{Ll}") & ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in P.PERSON_STOP])))
+    return got.filter(~starts_lower(F.col("match")) & ~has_stop_word(F.col("match")))
 
 
 def dates(docs: DataFrame) -> DataFrame:
@@ -89,21 +88,49 @@ def company_matches(docs: DataFrame, text: str = "text", ahead: int = 200) -> Da
     return docs.select("doc_id", F.posexplode(pairs).alias("pos", "_m")).select("doc_id", "pos", "_m.raw", "_m.tail")
 
 
+def in_longer_word(tail: Column) -> Column:
+    """The suffix goes on as a word ("Co" of "County")."""
+    return tail.rlike(r"^\p{L}")
+
+
+def before_agreement(tail: Column) -> Column:
+    """The next word is a type of document."""
+    return F.lower(F.regexp_extract(tail, r"^(?U)\s+([A-Za-z]+)", 1)).isin(P.AGREEMENT_TERMS)
+
+
+def only_suffix(name: Column) -> Column:
+    return F.trim(F.regexp_replace(name, P.FLAGS + P.BARE_SUFFIX, "")) == ""
+
+
+def determined(name: Column) -> Column:
+    return name.rlike(P.FLAGS + P.DETERMINER)
+
+
+def legal_abbreviation(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?U)[\s,.\-]+", "").isin(P.LEGAL_ABBREVIATIONS)
+
+
+def has_stop_word(name: Column) -> Column:
+    return F.arrays_overlap(F.split(name, r"(?U)\s+"), F.array(*[F.lit(w) for w in P.PERSON_STOP]))
+
+
+def starts_lower(name: Column) -> Column:
+    return name.rlike(r"^\p{Ll}")
+
+
 def acceptable_company(name: Column, tail: Column, agreement: bool = True, determiner: bool = True) -> Column:
     """Neither a suffix within a word, nor before a document type, nor without a name of its own."""
-    next_word = F.lower(F.regexp_extract(tail, r"^(?U)\s+([A-Za-z]+)", 1))
-    ok = ~tail.rlike(r"^\p{L}") & (F.trim(F.regexp_replace(name, P.FLAGS + P.BARE_SUFFIX, "")) != "") & ~name.startswith("Dear ")
+    ok = ~in_longer_word(tail) & ~only_suffix(name) & ~name.startswith("Dear ")
     if agreement:
-        ok = ok & ~next_word.isin(P.AGREEMENT_TERMS)
-    return ok & ~name.rlike(P.FLAGS + P.DETERMINER) if determiner else ok
+        ok = ok & ~before_agreement(tail)
+    return ok & ~determined(name) if determiner else ok
 
 
 def companies(docs: DataFrame) -> DataFrame:
     """Corporate names by suffix; matches that fail a filter still use up their text."""
     name = F.regexp_replace(F.regexp_replace(F.trim("raw"), ",+$", ""), r"\.+$", "")
     got = company_matches(docs).withColumn("match", name)
-    collapsed = F.regexp_replace("match", r"(?U)[\s,.\-]+", "")
-    kept = got.filter(acceptable_company(F.col("match"), F.col("tail")) & ~collapsed.isin(P.LEGAL_ABBREVIATIONS))
+    kept = got.filter(acceptable_company(F.col("match"), F.col("tail")) & ~legal_abbreviation(F.col("match")))
     return canonical(kept.select("doc_id", F.lit("COMPANY").alias("entity_type"), F.lit(0).alias("family"), "pos", "match"))
 
 
@@ -130,15 +157,14 @@ def detect_regex(docs: DataFrame) -> DataFrame:
     got = docs.select("doc_id", "text", F.inline(F.array(F.struct(*[c.alias(k) for k, c in arrays.items()]))))
     absent = lambda known, hit: ~F.exists(known, hit)
     city = F.filter("city", lambda c: absent(F.col("address"), lambda a: a.contains(c)))
-    stop = F.array(*[F.lit(w) for w in P.PERSON_STOP])
     company = F.filter(
         F.transform(F.arrays_zip("raw", "tail"), lambda m: F.struct(F.regexp_replace(F.regexp_replace(F.trim(m["raw"]), ",+$", ""), r"\.+$", "").alias("name"), m["tail"].alias("tail"))),
-        lambda m: acceptable_company(m["name"], m["tail"]) & ~F.regexp_replace(m["name"], r"(?U)[\s,.\-]+", "").isin(P.LEGAL_ABBREVIATIONS),
+        lambda m: acceptable_company(m["name"], m["tail"]) & ~legal_abbreviation(m["name"]),
     )
     settled = {
         "url": F.filter("url", lambda u: absent(F.col("email"), lambda e: e.contains(u))),
         "city": city,
-        "person": F.filter("person", lambda n: ~n.rlike(r"^\p{Ll}") & ~F.arrays_overlap(F.split(n, r"(?U)\s+"), stop)),
+        "person": F.filter("person", lambda n: ~starts_lower(n) & ~has_stop_word(n)),
         "bare": F.filter("bare", lambda x: ~F.array_contains("amount", x)),
         "company": F.transform(company, lambda m: m["name"]),
     }
@@ -196,9 +222,10 @@ def number(entities: DataFrame) -> DataFrame:
     return entities.withColumn("placeholder", F.concat(F.lit("["), F.initcap("entity_type"), F.lit("-"), F.row_number().over(w).cast("string"), F.lit("]")))
 
 
-def detect(docs: DataFrame, parties: DataFrame | None = None) -> DataFrame:
-    """The whole detection without NER: (doc_id, entity_type, text, count, confidence, placeholder)."""
-    found = one_type(merge(detect_regex(docs)))
+def detect(docs: DataFrame, parties: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """The whole detection: (doc_id, entity_type, text, count, confidence, placeholder). more: rows like those of detect_regex(), as a model gives them."""
+    found = detect_regex(docs)
+    found = one_type(merge(found.unionByName(more.withColumn("ord", F.col("ord").cast("int"))) if more is not None else found))
     if parties is not None:
         found = without_parties(found, parties)
     return number(found).select("doc_id", "entity_type", "text", "count", "confidence", "placeholder")

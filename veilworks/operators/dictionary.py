@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from veilworks.functions import patterns as P
 from veilworks.operators.detect import strip_suffix
+from veilworks.sources.docx import transfer_case
 
 
 def collide(config: DataFrame) -> DataFrame:
@@ -63,6 +64,11 @@ def whole_word(text: Column, part: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), part, F.lit(r"\E\b")))
 
 
+def usable_part(part: Column) -> Column:
+    """Long enough to stand for a name, and no month that is also a first name."""
+    return (F.length(part) >= 3) & ~part.isin(P.MONTH_NAMES)
+
+
 def _variants(replacements: DataFrame, docs: DataFrame, kind: str, words: Column, more: Column | None, keep, found) -> DataFrame:
     own = replacements.filter(F.col("placeholder").rlike(rf"^\[{kind}-\d+\]$")).withColumn("_w", words)
     forms = phrases(F.col("_w")) if more is None else F.array_distinct(F.concat(phrases(F.col("_w")), F.when(F.size("_w") > 1, F.array(more)).otherwise(F.array().cast("array<string>"))))
@@ -76,7 +82,7 @@ def person_variants(replacements: DataFrame, docs: DataFrame) -> DataFrame:
     words = F.filter(F.split("original", r"(?U)\s+"), lambda w: (w != "") & ~w.rlike(r"^[A-Z]\.?$"))
     first_last = F.concat_ws(" ", F.element_at(F.col("_w"), 1), F.element_at(F.col("_w"), -1))
     found = lambda text, x: whole_word(text, x) | whole_word(text, F.upper(x))
-    return _variants(replacements, docs, "Person", words, first_last, lambda x: ~x.isin(P.MONTH_NAMES), found)
+    return _variants(replacements, docs, "Person", words, first_last, usable_part, found)
 
 
 def company_variants(replacements: DataFrame, docs: DataFrame) -> DataFrame:
@@ -113,18 +119,32 @@ def dictionary(replacements: DataFrame) -> DataFrame:
     )
 
 
-def rewrite(text: Column, pattern: Column, lookup: Column) -> Column:
-    """Replace all matches at once, leftmost first, longest key first; what the map lacks stays."""
+def cased(originals: Column, replacements: Column) -> Column:
+    """Each replacement in the case of its original; both are arrays."""
+
+    def each(a, b):
+        return None if a is None else [transfer_case(x, y) for x, y in zip(a, b, strict=True)]
+
+    return F.udf(each, "array<string>", useArrow=True)(originals, replacements)
+
+
+def rewrite(text: Column, pattern: Column, lookup: Column, match_case: bool = False) -> Column:
+    """Replace all matches at once, leftmost first, longest key first; what the map lacks stays.
+
+    match_case gives a replacement the case of what it replaces, which takes a worker's title-case rules."""
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    joined = F.zip_with(between, hits, lambda s, m: F.concat(F.coalesce(s, F.lit("")), F.coalesce(F.try_element_at(lookup, F.lower(m)), m, F.lit(""))))
+    new = F.transform(hits, lambda m: F.coalesce(F.try_element_at(lookup, F.lower(m)), m))
+    if match_case:
+        new = cased(hits, new)
+    joined = F.zip_with(between, new, lambda s, m: F.concat(F.coalesce(s, F.lit("")), F.coalesce(m, F.lit(""))))
     return F.when(pattern.isNull(), text).otherwise(F.array_join(joined, ""))
 
 
-def replace_all(docs: DataFrame, replacements: DataFrame) -> DataFrame:
+def replace_all(docs: DataFrame, replacements: DataFrame, match_case: bool = False) -> DataFrame:
     """docs with text rewritten and the number of replacements (n_replaced); documents without entries stay."""
     d = docs.join(dictionary(replacements), "doc_id", "left")
     n = F.when(F.col("pattern").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))).cast("long")
-    return d.withColumn("n_replaced", n).withColumn("text", rewrite(F.col("text"), F.col("pattern"), F.col("lookup"))).drop("pattern", "lookup")
+    return d.withColumn("n_replaced", n).withColumn("text", rewrite(F.col("text"), F.col("pattern"), F.col("lookup"), match_case)).drop("pattern", "lookup")
 
 
 def leaks(docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -20,6 +20,16 @@ def accepted_upload(name: Column, length: Column) -> Column:
     return F.lower(name).endswith(".docx") & (length <= MAX_UPLOAD)
 
 
+def accepted_mapping(name: Column, length: Column) -> Column:
+    return F.lower(name).endswith(".json") & (length <= MAX_MAPPING)
+
+
+def resolve(requests: DataFrame, present: DataFrame) -> DataFrame:
+    """Requests (session_id, name) whose parts are valid and whose file is present (session_id, name)."""
+    fit = valid_session(F.col("session_id")) & valid_filename(F.col("name"))
+    return requests.filter(fit).join(present.select("session_id", "name").distinct(), ["session_id", "name"], "left_semi")
+
+
 def create(spark, n: int) -> DataFrame:
     """n new sessions with a random id and the present time."""
     return spark.range(n).select(F.substring(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), 1, 8).alias("session_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssZ").alias("created"))

@@ -7,7 +7,9 @@ cannot be read gives a row with an error code instead of an exception.
 from __future__ import annotations
 
 import io
+import os
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -28,6 +30,44 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
+def listed(listing: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, content) of each listed path; content is null where no file stands, which parses to an error row."""
+    return listing.select("path").join(files.select("path", "content"), "path", "left")
+
+
+def save_files(files: DataFrame, folder: str) -> None:
+    """Write (path, content) below a folder that all executors share, under the last part of each path.
+
+    A file appears under its name only when it is whole, so a task that runs again does no harm."""
+
+    def write(rows) -> None:
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            target = os.path.join(folder, os.path.basename(r["path"]))
+            part = f"{target}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
+                f.write(r["content"])
+            os.replace(part, target)
+
+    files.select("path", "content").foreachPartition(write)
+
+
+def parts(files: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(path, part, data) of the archive's parts, or of those named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                if content is None or not zipfile.is_zipfile(io.BytesIO(content)):
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for n in z.namelist():
+                        if names is None or n in names:
+                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n]), pa.array([z.read(n)], pa.binary())], ["path", "part", "data"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, part string, data binary")
+
+
 def sniff(content: Column, path: Column) -> Column:
     """The error code that name and first bytes decide without parsing; null where parsing may begin."""
     head = F.hex(F.substring(content, 1, 4))
@@ -80,11 +120,13 @@ def _blocks(root: ElementTree.Element, surface: str, section: int, label: str) -
     for i, p in enumerate(root.findall(W + "p"), 1):
         yield one(p, f"Paragraph {i}" if surface == "body" else label)
     for i, t in enumerate(root.findall(W + "tbl"), 1):
-        yield from table(t, f"Table {i}")
+        yield from table(t, f"Table {i}" if surface == "body" else f"{label}, Table {i}")
 
 
-def parse(path: str, content: bytes) -> list[dict]:
+def parse(path: str, content: bytes | None) -> list[dict]:
     none = {"path": path, "error": None, "seq": None, "surface": None, "section": None, "row": None, "cell": None, "location": None, "text": None, "runs": None}
+    if content is None:
+        return [none | {"error": NOT_FOUND}]
     if not path.lower().endswith(".docx") or not zipfile.is_zipfile(io.BytesIO(content)):
         return [none | {"error": UNSUPPORTED}]
     try:
@@ -129,6 +171,15 @@ def texts(parsed: DataFrame) -> DataFrame:
     return kept.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
+def texts_for_scanning(parsed: DataFrame) -> DataFrame:
+    """(path, seq, location, text) as the security scan reads a file: cells as a whole, blocks stripped, no tables of headers."""
+    kept = parsed.filter(F.col("error").isNull() & ~F.col("location").rlike("^Section .*Table"))
+    cell = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")
+    key = F.when(F.col("surface") == "table", F.lit(-1)).otherwise(F.col("seq"))
+    whole = kept.groupBy("path", "location", key.alias("_block")).agg(F.min("seq").alias("seq"), F.regexp_replace(cell, r"(?U)^\s+|\s+$", "").alias("text"))
+    return whole.filter("text <> ''").select("path", "seq", "location", "text")
+
+
 def edit_parts(content: bytes, edit: Callable[[str, bytes], bytes | None]) -> bytes:
     """The archive with each part as edit() returns it; None drops the part."""
     out = io.BytesIO()
@@ -140,7 +191,7 @@ def edit_parts(content: bytes, edit: Callable[[str, bytes], bytes | None]) -> by
     return out.getvalue()
 
 
-def replace_in_parts(content: bytes, lookup: dict[str, str]) -> tuple[bytes, int]:
+def replace_in_parts(content: bytes, lookup: dict[str, str], match_case: bool = False) -> tuple[bytes, int]:
     """Text elements of all text parts rewritten in one pass each; the number of replacements."""
     if not lookup:
         return content, 0
@@ -152,7 +203,7 @@ def replace_in_parts(content: bytes, lookup: dict[str, str]) -> tuple[bytes, int
 
     def text(m: re.Match) -> str:
         nonlocal total
-        new, n = pattern.subn(lambda x: keys.get(x[0].lower(), x[0]), unescape(m[2], {"&quot;": '"', "&apos;": "'"}))
+        new, n = pattern.subn(lambda x: in_case(x[0], keys.get(x[0].lower(), x[0]), match_case), unescape(m[2], {"&quot;": '"', "&apos;": "'"}))
         total += n
         return m[1] + escape(new) + m[3]
 
@@ -164,7 +215,7 @@ def replace_in_parts(content: bytes, lookup: dict[str, str]) -> tuple[bytes, int
     return edit_parts(content, edit), total
 
 
-def splice(runs: list[str], lookup: dict[str, str]) -> list[str]:
+def splice(runs: list[str], lookup: dict[str, str], match_case: bool = False) -> list[str]:
     """Replace over the joined runs: the first run that a match touches takes the whole replacement."""
     keys = {k.lower(): v for k, v in lookup.items()}
     pattern = re.compile("|".join(re.escape(k) for k in sorted(lookup, key=len, reverse=True)), re.IGNORECASE)
@@ -182,7 +233,7 @@ def splice(runs: list[str], lookup: dict[str, str]) -> list[str]:
 
     for m in pattern.finditer(joined):
         copy(before, m.start())
-        out[place(m.start())] += keys.get(m[0].lower(), m[0])
+        out[place(m.start())] += in_case(m[0], keys.get(m[0].lower(), m[0]), match_case)
         before = m.end()
     copy(before, len(joined))
     return out
@@ -205,12 +256,16 @@ def transfer_case(original: str, replacement: str) -> str:
     return "".join(out)
 
 
-def rewrite_files(files: DataFrame, lookups: DataFrame) -> DataFrame:
+def in_case(original: str, replacement: str, match_case: bool) -> str:
+    return transfer_case(original, replacement) if match_case else replacement
+
+
+def rewrite_files(files: DataFrame, lookups: DataFrame, match_case: bool = False) -> DataFrame:
     """(path, content, n_replaced): files rewritten by lookups (path, lookup map<string,string>)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [replace_in_parts(bytes(c), dict(m or {})) for c, m in zip(f["content"], f["lookup"], strict=True)]
+            got = [replace_in_parts(bytes(c), dict(m or {}), match_case) for c, m in zip(f["content"], f["lookup"], strict=True)]
             yield pd.DataFrame({"path": f["path"], "content": [g[0] for g in got], "n_replaced": [g[1] for g in got]})
 
     return files.join(lookups, "path", "left").select("path", "content", "lookup").mapInPandas(run, "path string, content binary, n_replaced long")
@@ -220,11 +275,19 @@ _CORE = {"creator": "", "lastModifiedBy": "", "description": "", "revision": "1"
 _APP = {"Company": "", "Manager": "", "Application": "Microsoft Office Word", "Template": "Normal.dotm"}
 
 
+_PROPERTY = "http://schemas.openxmlformats.org/package/2006/metadata/core-properties"
+_SPACES = {
+    **dict.fromkeys(["creator", "description"], "http://purl.org/dc/elements/1.1/"), **dict.fromkeys(["created", "modified"], "http://purl.org/dc/terms/"),
+    **dict.fromkeys(["lastModifiedBy", "revision"], _PROPERTY), **dict.fromkeys(_APP, "http://schemas.openxmlformats.org/officeDocument/2006/extended-properties"),
+}
+
+
 def _set(root: ElementTree.Element, values: dict[str, str]) -> None:
-    for e in root:
-        name = e.tag.rpartition("}")[2]
-        if name in values:
-            e.text = values[name]
+    """Give each named child its value; a child that is absent is made."""
+    have = {e.tag.rpartition("}")[2]: e for e in root}
+    for name, value in values.items():
+        e = have[name] if name in have else ElementTree.SubElement(root, f"{{{_SPACES[name]}}}{name}")
+        e.text = value
 
 
 def strip_metadata(content: bytes, keep_comments: bool = True) -> bytes:
@@ -292,3 +355,57 @@ def comments(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "idx", "id", "author", "initials", "date", "text"])
 
     return files.select("path", "content").mapInPandas(run, "path string, idx long, id string, author string, initials string, date string, text string")
+
+
+def edit_comments(content: bytes, mode: str, authors: dict[str, str] | None = None, lookup: dict[str, str] | None = None) -> bytes:
+    """A file with its comments kept, stripped with their anchors, or sanitised: authors renamed, initials
+    made from the new names, and texts rewritten verbatim. With authors turned round it restores them."""
+    if mode == "keep":
+        return content
+    keys = {k.lower(): v for k, v in (lookup or {}).items()}
+    pattern = re.compile("|".join(re.escape(k) for k in sorted(keys, key=len, reverse=True)), re.IGNORECASE) if keys else None
+
+    def edit(name: str, data: bytes) -> bytes:
+        if name == "word/document.xml" and mode == "strip":
+            return re.sub(rb"<w:comment(?:RangeStart|RangeEnd|Reference)\b[^>]*/>", b"", data)
+        if name != "word/comments.xml":
+            return data
+        root = safe_xml(data)
+        for c in root.findall(W + "comment"):
+            if mode == "strip":
+                root.remove(c)
+                continue
+            label = (authors or {}).get(c.get(W + "author", ""))
+            if label:
+                c.set(W + "author", label)
+                c.set(W + "initials", "".join(w[0] for w in label.split()).upper())
+            for t in c.iter(W + "t") if pattern else ():
+                t.text = pattern.sub(lambda m: keys[m[0].lower()], t.text or "")
+        return ElementTree.tostring(root, "UTF-8", xml_declaration=True)
+
+    return edit_parts(content, edit)
+
+
+def process_comments(files: DataFrame, mode: str, authors: DataFrame | None = None, lookups: DataFrame | None = None) -> DataFrame:
+    """(path, content) after edit_comments(); authors (path, authors map) and lookups (path, lookup map)."""
+    none = F.create_map().cast("map<string,string>")
+    rows = files.select("path", "content")
+    rows = rows.join(authors, "path", "left") if authors is not None else rows.withColumn("authors", none)
+    rows = rows.join(lookups, "path", "left") if lookups is not None else rows.withColumn("lookup", none)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [edit_comments(bytes(c), mode, dict(a or {}), dict(m or {})) for c, a, m in zip(f["content"], f["authors"], f["lookup"], strict=True)]
+            yield pd.DataFrame({"path": f["path"], "content": got})
+
+    return rows.select("path", "content", "authors", "lookup").mapInPandas(run, "path string, content binary")
+
+
+def strip_files(files: DataFrame, keep_comments: bool = True) -> DataFrame:
+    """(path, content) of files without metadata."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "content": [strip_metadata(bytes(c), keep_comments) for c in f["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, content binary")
