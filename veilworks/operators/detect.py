@@ -258,18 +258,28 @@ def resembles_name(label: Column, name: Column) -> Column:
 
 def parties(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, name, label, defined_term): the parties that the first 2000 characters name."""
-    head = docs.select("doc_id", F.substring("text", 1, 2000).alias("text"))
-    plain = company_matches(head, ahead=2000).withColumn("name", F.regexp_replace(F.trim("raw"), ",+$", ""))
-    label = F.regexp_extract("tail", "(?Ud)" + P.LABEL_AFTER, 1)
-    phased = plain.filter(acceptable_company(F.col("name"), F.col("tail")) & F.col("tail").rlike("(?Ud)" + P.LABEL_AFTER)).select(
-        "doc_id", F.lit(0).alias("phase"), "pos", "name", F.regexp_replace(F.trim(label), ",+$", "").alias("label")
+    text, label_after = F.substring("text", 1, 2000), "(?Ud)" + P.LABEL_AFTER
+    shape = P.COMPANY + r"(?=([\s\S]{0,2000}))"
+    arrays = {
+        "raw": all_matches(text, shape, 1), "tail": all_matches(text, shape, 2),
+        "term": all_matches(text, P.DEFINED_TERM, 1), "meant": all_matches(text, P.DEFINED_TERM, 2), "dear": all_matches(text, P.DEAR, 1),
+    }
+    # a generator between the steps keeps each array computed once
+    got = docs.select("doc_id", F.inline(F.array(F.struct(*[c.alias(k) for k, c in arrays.items()]))))
+
+    def party(phase: int, pos: Column, name: Column, label: Column) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), pos.alias("pos"), name.alias("name"), label.alias("label"))
+
+    plain = F.transform(F.arrays_zip("raw", "tail"), lambda m, i: party(0, i, F.regexp_replace(F.trim(m["raw"]), ",+$", ""), m["tail"]))
+    labelled = F.filter(plain, lambda m: acceptable_company(m["name"], m["label"]) & m["label"].rlike(label_after))
+    phased = F.transform(labelled, lambda m: party(0, m["pos"], m["name"], F.regexp_replace(F.trim(F.regexp_extract(m["label"], label_after, 1)), ",+$", "")))
+    adjacent = F.filter(
+        F.transform(F.arrays_zip("term", "meant"), lambda m, i: party(1, i, F.trim(m["term"]), F.trim(m["meant"]))), lambda m: ~only_suffix(m["name"]) & ~m["name"].startswith("Dear ")
     )
-    zipped = F.arrays_zip(all_matches(F.col("text"), P.DEFINED_TERM, 1).alias("name"), all_matches(F.col("text"), P.DEFINED_TERM, 2).alias("label"))
-    adjacent = head.select("doc_id", F.posexplode(zipped).alias("pos", "m")).select("doc_id", F.lit(1).alias("phase"), "pos", F.trim("m.name").alias("name"), F.trim("m.label").alias("label"))
-    adjacent = adjacent.filter((F.trim(F.regexp_replace("name", P.FLAGS + P.BARE_SUFFIX, "")) != "") & ~F.col("name").startswith("Dear "))
-    dear = head.select("doc_id", F.posexplode(all_matches(F.col("text"), P.DEAR, 1)).alias("pos", "m")).select("doc_id", F.lit(2).alias("phase"), "pos", F.trim("m").alias("name"), F.lit("Addressee").alias("label"))
+    dear = F.transform("dear", lambda m, i: party(2, i, F.trim(m), F.lit("Addressee")))
+    found = got.select("doc_id", F.inline(F.concat(phased, adjacent, dear))).repartition("doc_id")
     first = Window.partitionBy("doc_id", F.lower("name")).orderBy("phase", "pos")
-    seen = phased.unionByName(adjacent).unionByName(dear).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    seen = found.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     ranked = seen.withColumn("_role", F.row_number().over(Window.partitionBy("doc_id").orderBy("phase", "pos")))
     short = (F.col("phase") < 2) & (resembles_name(F.col("label"), F.col("name")) | is_abbreviation(F.col("label"), F.col("name")))
     role = F.when(F.col("_role") == 1, P.DEFAULT_ROLES[0]).otherwise(P.DEFAULT_ROLES[1])
