@@ -140,8 +140,16 @@ add(
 f AS (SELECT doc_id, original, len(ws) AS n, array_to_string(list_transform(ws, lambda x: upper(left(x, 1))), '') AS full_ FROM w WHERE len(ws) >= 2)
 SELECT doc_id, original, full_ AS initialism FROM f UNION ALL SELECT doc_id, original, left(full_, n - 1) FROM f WHERE n > 2 AND length(full_) >= 3""",
 )
-# the rewrite in SQL: keys of a contract never overlap but by prefix, so nested literal passes over upper, own and lower case are told apart by the tokens
-QUERIES["k11_replace"] = cloaked
+# the rewrite in SQL: the text cut at all matches of one alternation, each match put back as what the dictionary has for it
+add(
+    "k11_replace",
+    cloaked,
+    f"""WITH {DICT_CTE}, low AS (SELECT doc_id, lower(original) AS k, arg_max(placeholder, {{'ord': ord, 'original': original}}) AS v FROM expanded GROUP BY doc_id, lower(original)),
+keys AS (SELECT doc_id, '(?i)' || string_agg(regexp_escape(k), '|' ORDER BY length(k) DESC, k) AS p, list(k ORDER BY k) AS ks, list(v ORDER BY k) AS vs FROM low GROUP BY doc_id),
+cut AS (SELECT doc_id, text, ks, vs, string_split_regex(text, p) AS parts, regexp_extract_all(text, p) AS hits FROM contracts LEFT JOIN keys USING (doc_id))
+SELECT doc_id, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i <= len(hits) THEN vs[list_position(ks, lower(hits[i]))] ELSE '' END), '') END AS text,
+ CAST(coalesce(len(hits), 0) AS BIGINT) AS n_replaced FROM cut""",
+)
 QUERIES["l1_uncloak"] = lambda s, d: restored(s, d)
 
 
