@@ -20,5 +20,6 @@ QUERIES = {
 SQL = {
     "op1_substring_dedup": substrings.OP1_SQL,
     "op2_minhash_neardup": neardup.OP2_SQL,
+    "op4_sharding": sharding.OP4_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }

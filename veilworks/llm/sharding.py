@@ -40,3 +40,16 @@ def op4_sharding(spark, sf_dir: str) -> DataFrame:
 
     out = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 is folded byte by byte over a table made by its rule; each different text is read once.
+OP4_SQL = """WITH crc_table AS (
+  SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+texts AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
+crcs AS (
+  SELECT text, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::UBIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c & 255, b) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM texts, crc_table),
+sized AS (SELECT doc_id, strlen(coalesce(d.text, '')) + 1 AS size, text_crc32 FROM documents d JOIN crcs c ON c.text = coalesce(d.text, '')),
+placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM sized),
+cut AS (SELECT *, least(7, (2 * before + size) * 8 // (2 * total))::INTEGER AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard FROM cut"""
