@@ -41,8 +41,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the mix takes, up to three of a document, as rows."""
-    times = mix_sources(docs).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    """The copies that the mix takes, up to three of a document, as rows; rows with equal id each get the epochs that any of them takes."""
+    times = mix_sources(docs).groupBy("doc_id").agg(F.size(F.collect_set("epoch")).alias("_times"))
     return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(COLUMNS)
 
 

@@ -175,6 +175,16 @@ def test_mix(spark):
     assert mixing.mix_sources(nothing(spark)).count() == 0
     q = mixing.op9_mixing(spark, SMALL).collect()
     assert len(q) == table(spark, SMALL, "documents").count() and all(r["taken"] <= 3 * r["size"] for r in q)
+    twice = mixing.taken_words(frame(spark, [None, None, "a b", "a b", "c"], [1, 1, 2, 2, 3])).collect()
+    assert sorted(r["doc_id"] for r in twice) == [1, 1, 2, 2, 3] and mixing.taken_words(nothing(spark)).count() == 0
+
+
+def test_mix_stage_repeated_ids(spark):
+    import corpus_pipeline
+
+    docs = frame(spark, ["a b c", "a b c", "d e f g", None], [1, 1, 2, 3])
+    rows = corpus_pipeline.mix(spark, docs, SMALL).collect()
+    assert rows and max(sum(r["doc_id"] == i for r in rows) for i in (2, 3)) <= 3 and sum(r["doc_id"] == 1 for r in rows) <= 6
 
 
 def brute_pieces(pieces, word):

@@ -67,7 +67,7 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...], epochs: int, n_slots
     """Every copy of every document with the slot of its block, null where the mix does not take it."""
     placed, info = plan_mix(docs, weights, epochs, n_slots, source_col)
     if placed is None:
-        return docs.sparkSession.createDataFrame([], "slot long, doc_id long, size long, start long, source string, epoch int, source_size long, target double")
+        return docs.sparkSession.createDataFrame([], "slot long, _row long, doc_id long, size long, start long, source string, epoch int, source_size long, target double")
     slots = schedule(docs.sparkSession, [(k, t) for k, _, t in info], n_slots)
     copies = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn(
         "block", F.floor((F.col("start") + F.col("size") / 2 + F.col("epoch") * F.col("source_size")) / F.col("_block")).cast("long")
@@ -91,12 +91,17 @@ def plan_mix(docs: DataFrame, weights, epochs: int, n_slots: int, source_col: st
     block = max(sum(t for _, _, t in info) / n_slots, 1e-9)
     facts = F.broadcast(spark.createDataFrame(bases, "_k string, _source int, source_size long, target double, _base long"))
     known = sized.join(facts, F.col("source").eqNullSafe(F.col("_k"))).drop("_k").withColumn("_shuffle", F.xxhash64(F.lit(7), "doc_id"))
-    placed = prefix_sums(known, ["_source", "_shuffle", "doc_id", "size"], {"_at": F.col("size")}, sum(r["n"] for r in per))
+    placed = prefix_sums(known, ["_source", "_shuffle", "doc_id", "size"], {"_at": F.col("size"), "_row": F.lit(1)}, sum(r["n"] for r in per))
     return placed.withColumn("start", F.col("_at") - F.col("_base")).withColumn("_block", F.lit(block)), info
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    copies = mix_copies(table(spark, sf_dir, "documents"), (5, 2, 1), 3, 1 << 16, "source")
-    row = ["doc_id", "source", "start", "size", "source_size", "target"]
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
+def taken_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row of docs, rows that are alike in all columns included."""
+    copies = mix_copies(docs, (5, 2, 1), 3, 1 << 16, "source")
+    row = ["_row", "doc_id", "source", "start", "size", "source_size", "target"]
     taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("size"))), F.lit(0)).cast("long")
     return copies.groupBy(*row).agg(taken.alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
