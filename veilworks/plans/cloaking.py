@@ -9,8 +9,8 @@ from veilworks.operators import detect as D
 from veilworks.operators import dictionary as K
 from veilworks.operators import security as S
 from veilworks.plans.contracts import CONTRACTS_CTE, contracts
-from veilworks.plans.detection import PARTY_CTE
-from veilworks.plans.sql import lit
+from veilworks.plans.detection import _NUMBERED, CONTRACT_ALL, PARTY_CTE
+from veilworks.plans.sql import in_list, lit
 
 QUERIES, SQL = {}, {}
 
@@ -150,7 +150,6 @@ cut AS (SELECT doc_id, text, ks, vs, string_split_regex(text, p) AS parts, regex
 SELECT doc_id, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i <= len(hits) THEN vs[list_position(ks, lower(hits[i]))] ELSE '' END), '') END AS text,
  CAST(coalesce(len(hits), 0) AS BIGINT) AS n_replaced FROM cut""",
 )
-QUERIES["l1_uncloak"] = lambda s, d: restored(s, d)
 
 
 def restored(s, d):
@@ -161,6 +160,26 @@ def restored(s, d):
     return K.replace_all(hidden, back)
 
 
+def rewrite_sql(name: str, docs: str, entries: str) -> str:
+    """CTEs ending in `name` (doc_id, text, n_replaced): docs rewritten by entries (doc_id, original, placeholder), of equal keys the greatest original."""
+    return f"""{name}_low AS (SELECT doc_id, lower(original) AS k, arg_max(placeholder, original) AS v FROM {entries} GROUP BY doc_id, lower(original)),
+{name}_keys AS (SELECT doc_id, '(?i)' || string_agg(regexp_escape(k), '|' ORDER BY length(k) DESC, k) AS p, list(k ORDER BY k) AS ks, list(v ORDER BY k) AS vs FROM {name}_low GROUP BY doc_id),
+{name}_cut AS (SELECT doc_id, text, ks, vs, string_split_regex(text, p) AS parts, regexp_extract_all(text, p) AS hits FROM {docs} LEFT JOIN {name}_keys USING (doc_id)),
+{name} AS (SELECT doc_id, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i <= len(hits) THEN vs[list_position(ks, lower(hits[i]))] ELSE '' END), '') END AS text,
+ CAST(coalesce(len(hits), 0) AS BIGINT) AS n_replaced FROM {name}_cut)"""
+
+
+add(
+    "l1_uncloak",
+    restored,
+    f"""WITH {DICT_CTE}, r AS (SELECT e.*, EXISTS (SELECT 1 FROM mapping m WHERE m.doc_id = e.doc_id AND m.original = e.original) AS base FROM expanded e),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, placeholder, base ORDER BY ord, step, original) AS i FROM r),
+shorts AS (SELECT doc_id, original, CASE WHEN base THEN placeholder ELSE left(placeholder, length(placeholder) - 1) || '-Short' || CASE WHEN i > 1 THEN '-' || CAST(i AS VARCHAR) ELSE '' END || ']' END AS placeholder FROM n),
+back AS (SELECT doc_id, placeholder AS original, original AS placeholder FROM shorts),
+{rewrite_sql('hidden', 'contracts', 'shorts')}, {rewrite_sql('restored', 'hidden', 'back')} SELECT * FROM restored""",
+)
+
+
 add(
     "d10_replacement_count",
     lambda s, d: cloaked(s, d).select("doc_id", "n_replaced"),
@@ -204,8 +223,23 @@ def variants(kind: str):
     return run
 
 
-QUERIES["k5_person_variants"] = variants("Person")
-QUERIES["k6_company_variants"] = variants("Company")
+def variants_sql(kind: str) -> str:
+    person = kind == "Person"
+    word, more = ("w <> '' AND NOT regexp_matches(w, '^[A-Z]\\.?$')", "[ws[1] || ' ' || ws[-1]]") if person else ("w <> ''", "[]")
+    keep = f"NOT original IN {in_list(P.MONTH_NAMES)}" if person else f"NOT (NOT contains(original, ' ') AND lower(original) IN {in_list(P.COMPANY_STOP)})"
+    found = lambda x: f"regexp_matches(text, '\\b' || regexp_escape({x}) || '\\b')"
+    return f"""{CONTRACT_ALL}, numbered AS ({_NUMBERED} winners),
+base AS (SELECT doc_id, text AS original, placeholder, CAST(regexp_extract(placeholder, '(\\d+)', 1) AS BIGINT) AS ord FROM numbered WHERE entity_type = '{kind.upper()}'),
+own AS (SELECT *, list_filter(string_split_regex(original, '\\s+'), lambda w: {word}) AS ws FROM base),
+runs AS (SELECT doc_id, ord, placeholder, list_concat(flatten(list_transform(range(1, len(ws)), lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' ')))), {more}) AS forms FROM own WHERE len(ws) > 1),
+cand AS (SELECT doc_id, ord, placeholder, unnest(forms) AS original, generate_subscripts(forms, 1) AS step FROM runs)
+SELECT doc_id, original, arg_min(placeholder, ord * 100000 + step) AS placeholder, min(ord) AS ord FROM cand c JOIN contracts t USING (doc_id)
+WHERE length(original) >= 3 AND {keep} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.original = c.original)
+ AND ({found('original')}{' OR ' + found('upper(original)') if person else ''}) GROUP BY doc_id, original"""
+
+
+add("k5_person_variants", variants("Person"), variants_sql("Person"))
+add("k6_company_variants", variants("Company"), variants_sql("Company"))
 _NAMES_SQL = """SELECT o_orderkey AS doc_id, '[Customer]_' || lower(o_orderpriority) || '_[Customer A]_cloaked.docx' AS name, o_orderstatus AS a, o_orderpriority AS b FROM {orders}"""
 add(
     "l2_restore_filename",
@@ -219,4 +253,8 @@ add(
     lambda s, d: contracts(s, d).join(entries(s, d).groupBy("doc_id").agg(F.collect_list(F.struct("original", "placeholder")).alias("r")), "doc_id").select(
         "doc_id", K.clean_filename(F.concat(F.lower(F.replace(F.regexp_extract("text", r"between (\w+ \w+)", 1), F.lit(" "), F.lit("_"))), F.lit("_NDA.docx")), F.col("r")).alias("clean")
     ),
+    f"""WITH {DICT_CTE}, named AS (SELECT doc_id, replace(lower(regexp_extract(text, 'between (\\w+ \\w+)', 1)), ' ', '_') || '_NDA.docx' AS name FROM contracts),
+keys AS (SELECT doc_id, original AS o, placeholder AS p FROM entries UNION ALL SELECT doc_id, trim(regexp_replace(original, {_STRIP}, '')), placeholder FROM entries),
+steps AS (SELECT doc_id, list({{'o': o, 'p': p}} ORDER BY length(o) DESC, o, p) AS ks FROM keys WHERE o <> '' GROUP BY doc_id)
+SELECT doc_id, list_reduce(list_prepend({{'o': name, 'p': ''}}, ks), lambda a, x: {{'o': regexp_replace(a.o, replace(regexp_escape(x.o), '\\ ', '[\\s_\\-.]?'), x.p, 'gi'), 'p': ''}}).o AS clean FROM named JOIN steps USING (doc_id)""",
 )

@@ -12,7 +12,7 @@ from veilworks.operators import chunks, comments, sessions, spans
 from veilworks.operators import dictionary as K
 from veilworks.plans.cloaking import DICT_CTE, entries
 from veilworks.plans.contracts import CONTRACTS_CTE, contracts
-from veilworks.plans.sql import lit
+from veilworks.plans.sql import in_list, lit
 from veilworks.sources import docx, mappings
 from veilworks.streaming import ingest
 
@@ -90,22 +90,27 @@ add("m6_spans", lambda s, d: spans.span_table(view(_SIZES, "orders")(s, d), 3),
 add("m3_words", lambda s, d: contracts(s, d).select("doc_id", F.size(spans.words(F.col("text"))).cast("long").alias("n"), F.array_join(spans.words(F.col("text")), "|").alias("words")), f"WITH {CONTRACTS_CTE}, w AS (SELECT doc_id, regexp_extract_all(text, '\\w+(?:[-_]\\w+)*|\\S') AS ws FROM contracts) SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, array_to_string(ws, '|') AS words FROM w")
 add("m12_label_map", lambda s, d: s.createDataFrame(sorted(P.NER_LABELS.items()), "label string, entity_type string"), "SELECT * FROM (VALUES ('address','ADDRESS'), ('organization','COMPANY'), ('person','PERSON')) v(label, entity_type)")
 _IDS = "SELECT o_orderkey AS doc_id, array(CAST(NULL AS INT), 0, 0, 1, CAST(NULL AS INT), 2, 2, CAST(2 + o_custkey % 2 AS INT), 4) AS ids, CAST(o_orderkey % 3 AS INT) AS prompt FROM {orders}"
-QUERIES["m5_words_mask"] = lambda s, d: view(_IDS, "orders")(s, d).select("doc_id", spans.words_mask(F.col("ids"), F.col("prompt")).alias("mask"))
+add(
+    "m5_words_mask",
+    lambda s, d: view(_IDS, "orders")(s, d).select("doc_id", spans.words_mask(F.col("ids"), F.col("prompt")).alias("mask")),
+    f"""WITH x AS ({_IDS.format(orders='orders').replace('array(', 'list_value(')}), f AS (SELECT doc_id, prompt, list_transform(ids, lambda w, i: w IS NOT NULL AND (i = 1 OR w IS DISTINCT FROM ids[i - 1])) AS new FROM x),
+c AS (SELECT doc_id, prompt, new, list_transform(new, lambda w, i: len(list_filter(new[1:i], lambda y: y))) AS seen FROM f)
+SELECT doc_id, list_transform(new, lambda w, i: CAST(CASE WHEN w AND seen[i] > prompt THEN seen[i] - prompt ELSE 0 END AS INTEGER)) AS mask FROM c""",
+)
 _KINDS = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 12 WHEN 0 THEN 'the parties' WHEN 1 THEN 'Jane Doe' WHEN 2 THEN 'devices such' WHEN 3 THEN 'any other Acme LLC' WHEN 4 THEN 'Company and its affiliates' WHEN 5 THEN 'Defend Trade Secrets Act'
  WHEN 6 THEN 'American Arbitration Association' WHEN 7 THEN 'ABC' WHEN 8 THEN 'premises' WHEN 9 THEN '12 Oak Street' WHEN 10 THEN 'Securities Board (SEC)' ELSE 'LLC' END AS text,
  CASE o_custkey % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'COMPANY' ELSE 'ADDRESS' END AS kind FROM {orders}"""
-_in = lambda words: "(" + ", ".join(lit(w) for w in words) + ")"
 add(
     "b9_entity_filter",
     lambda s, d: view(_KINDS, "orders")(s, d).select("doc_id", spans.accept(F.col("text"), F.col("kind")).alias("text")).filter("text IS NOT NULL"),
     f"""WITH r AS ({_KINDS.format(orders='orders')}), c AS (SELECT *, trim(regexp_replace(text, {lit(P.NER_DETERMINER)}, '')) AS c FROM r),
 x AS (SELECT *, regexp_extract_all(c, '[A-Za-z]+') AS ws, rtrim(c, '.,;:') AS bare FROM c)
 SELECT doc_id, CASE WHEN kind = 'COMPANY' THEN c ELSE text END AS text FROM x WHERE CASE kind
- WHEN 'PERSON' THEN NOT lower(text) IN {_in(P.NER_PERSON_BLOCK)} AND NOT regexp_matches(text, '^[a-z]')
- WHEN 'COMPANY' THEN c <> '' AND NOT lower(string_split(c, ' ')[1]) IN {_in(P.LEGAL_ROLES)} AND len(list_filter(ws, lambda w: lower(w) IN {_in(P.INSTITUTIONS)})) = 0
-   AND NOT lower(rtrim(string_split(c, ' ')[-1], '.,;:')) IN {_in(P.STATUTE_WORDS)} AND len(list_filter(ws, lambda w: w IN {_in(P.LEGAL_ABBREVIATIONS)})) = 0
-   AND NOT (bare = upper(bare) AND bare <> lower(bare) AND length(bare) BETWEEN 2 AND 5 AND NOT lower(bare) IN {_in(P.SUFFIX_WORDS)})
- ELSE NOT lower(text) IN {_in(P.ADDRESS_BLOCK)} AND regexp_matches(text, '[0-9]') END""",
+ WHEN 'PERSON' THEN NOT lower(text) IN {in_list(P.NER_PERSON_BLOCK)} AND NOT regexp_matches(text, '^[a-z]')
+ WHEN 'COMPANY' THEN c <> '' AND NOT lower(string_split(c, ' ')[1]) IN {in_list(P.LEGAL_ROLES)} AND len(list_filter(ws, lambda w: lower(w) IN {in_list(P.INSTITUTIONS)})) = 0
+   AND NOT lower(rtrim(string_split(c, ' ')[-1], '.,;:')) IN {in_list(P.STATUTE_WORDS)} AND len(list_filter(ws, lambda w: w IN {in_list(P.LEGAL_ABBREVIATIONS)})) = 0
+   AND NOT (bare = upper(bare) AND bare <> lower(bare) AND length(bare) BETWEEN 2 AND 5 AND NOT lower(bare) IN {in_list(P.SUFFIX_WORDS)})
+ ELSE NOT lower(text) IN {in_list(P.ADDRESS_BLOCK)} AND regexp_matches(text, '[0-9]') END""",
 )
 QUERIES["e8_chunks"] = lambda s, d: chunks.chunk(s.read.parquet(f"{d}/documents.parquet"))
 

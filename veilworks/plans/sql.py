@@ -7,6 +7,10 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def in_list(words) -> str:
+    return "(" + ", ".join(lit(w) for w in words) + ")"
+
+
 def extract_sql(specs: list[tuple[str, str, int]]) -> str:
     """(doc_id, entity_type, match, family, pos) of all matches in {src}. Braces of patterns are doubled for format()."""
     parts = []
