@@ -292,6 +292,20 @@ def test_leaks(spark):
     assert decontamination.find_leaks(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1 << 25, 4000])
+def test_leaks_of_long_items(spark, size):
+    """Whole copies of items of all lengths, in the midst of documents, at several offsets."""
+    rng = np.random.default_rng(10)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    lengths = [20, 49, 50, 59, 96, 97, 98, 200, 400, 400, 1500]
+    items = [(i, f"{say(n - n // 4)}. {say(n // 4)}.") for i, n in enumerate(lengths)]
+    texts = [f"{say(before)} {t} {say(300)}" for _, t in items for before in (0, 30, 333)] + [say(3000)]
+    got = decontamination.find_leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), index_bytes=size).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(3 * i + j, i) for i in range(len(items)) for j in range(3)}
+    assert all(r["score"] > 0.999 and r["question_overlap"] == r["answer_overlap"] == 1.0 for r in got)
+
+
 def test_pruning_loses_nothing():
     """The pruned search against BM25 scores of every passage and item."""
     rng = np.random.default_rng(9)

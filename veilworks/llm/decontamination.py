@@ -5,6 +5,9 @@ are pruned as in block-max WAND, a batch of passages at a time: first by the ter
 anywhere, then by their greatest impacts within each block of items; what is left is scored in full.
 Each bound is at least the score, so every item above the threshold is retrieved. A retrieved item
 counts as leaked if enough of its question and of its answer stands about the passage.
+
+Items are grouped by length, an index for each group, and passages are as long as the group's items
+ask for: a whole copy of an item of any length lies in one passage and has its full score there.
 """
 
 from __future__ import annotations
@@ -131,15 +134,24 @@ def overlap(part: list[int], near: list[int], gram: int = 3) -> float:
     return sum(g in have for g in mine) / len(mine)
 
 
-def search(index: ItemIndex, data: np.ndarray, offsets: np.ndarray, threshold: float, half: int) -> list[tuple[int, int, float, int, int, int, int]]:
-    """(text, item, score, first and last word of the passage, the text's words from, to) of every hit.
-
-    Passages are two neighbouring halves of `half` words, so each stretch of `half` + 1 words lies in one."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts, and n + 1 word offsets."""
     data = fold(data)
     starts, ends, at = spans(data, offsets, LETTER)
-    if not len(starts):
-        return []
-    h = span_hashes(data, starts, ends)
+    return span_hashes(data, starts, ends), at
+
+
+def search(index: ItemIndex, data: np.ndarray, offsets: np.ndarray, threshold: float, half: int) -> Iterator[tuple[int, int, float, int, int, list[int]]]:
+    """(text, item, score, first and last word of the passage, the words about it) of every hit."""
+    return search_words(index, *hashed_words(data, offsets), threshold, half)
+
+
+def search_words(index: ItemIndex, h: np.ndarray, at: np.ndarray, threshold: float, half: int) -> Iterator[tuple[int, int, float, int, int, list[int]]]:
+    """search() on the texts' hashed words.
+
+    Passages are two neighbouring halves of `half` words, so each stretch of `half` + 1 words lies in one."""
+    if not len(h):
+        return
     seen = np.flatnonzero(index.maybe[(h >> np.uint64(44)).astype(np.int64)])
     term = np.minimum(np.searchsorted(index.terms, h[seen]), len(index.terms) - 1)
     good = index.terms[term] == h[seen]
@@ -158,7 +170,7 @@ def search(index: ItemIndex, data: np.ndarray, offsets: np.ndarray, threshold: f
     pair = single + np.where(follows[:n], np.append(single[1:], 0.0), 0.0)
     alive = pair + index.common_bound >= threshold
     if not alive.any():
-        return []
+        return
     # each alive passage's distinct terms
     first = alive[mine]
     behind = np.maximum(mine - 1, 0)
@@ -176,7 +188,7 @@ def search(index: ItemIndex, data: np.ndarray, offsets: np.ndarray, threshold: f
         cell = np.unique(passage)[:, None] * index.n_blocks + np.arange(index.n_blocks)
         cell = cell.ravel()
     if not len(cell):
-        return []
+        return
     # what is left is scored in full
     left = np.isin(passage, cell // index.n_blocks)
     passage, t = passage[left], t[left]
@@ -185,23 +197,39 @@ def search(index: ItemIndex, data: np.ndarray, offsets: np.ndarray, threshold: f
     inside = np.isin(whose * index.n_blocks + item // index.block_size, cell)
     hit, inverse = np.unique(whose[inside] * len(index.ids) + item[inside], return_inverse=True)
     score = np.bincount(inverse, index.impact[entry[inside]], len(hit))
-    out = []
     for x, s in zip(hit[score >= threshold].tolist(), score[score >= threshold].tolist(), strict=True):
         p, i = divmod(x, len(index.ids))
         text = int(np.searchsorted(first_half, p, side="right")) - 1
         a = int(at[text] + (p - first_half[text]) * half)
         z = min(int(at[text + 1]), a + 2 * half)
         near = h[max(int(at[text]), a - half) : min(int(at[text + 1]), z + half)].tolist()
-        out.append((text, i, s, a - int(at[text]), z - int(at[text]), near))
-    return out
+        yield text, i, s, a - int(at[text]), z - int(at[text]), near
+
+
+def statistics(words: list[np.ndarray]) -> tuple[int, float, dict[int, int]]:
+    """Number of items, mean length and document frequencies, of all items' hashed words."""
+    return len(words), sum(map(len, words)) / max(1, len(words)), dict(Counter(t for w in words for t in set(w.tolist())))
+
+
+def index_by_length(items: list[tuple[int, str]], stats: tuple[int, float, dict[int, int]] | None, half: int) -> list[tuple[int, ItemIndex]]:
+    """(half, index) of each group of items: lengths up to `half` + 1, then up to the double and so on.
+
+    A group's half is its longest item, so that any whole copy lies in one passage."""
+    words = [term_hashes(t) for _, t in items]
+    items, words = [i for i, w in zip(items, words, strict=True) if len(w)], [w for w in words if len(w)]
+    stats = stats or statistics(words)
+    groups: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        groups.setdefault(max(0, -(-(len(w) - 1) // half) - 1).bit_length(), []).append(i)
+    return [(max(half, max(len(words[i]) for i in g)) if k else half, build_index([items[i] for i in g], stats)) for k, g in sorted(groups.items())]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, half: int = 48, index_bytes: int = 32 << 20) -> DataFrame:
     """One row for each document and test item that leaks into it, at its best passage: SCHEMA.
 
     items: (item_id, text). threshold is a share of the item's own BM25 score; question and answer are
-    shares of three-word sequences. Words are runs of letters and digits, folded to lower case. The
-    index is broadcast; items beyond index_bytes of text are indexed in parts of that size, one pass
+    shares of three-word sequences. Words are runs of letters and digits, folded to lower case. half is
+    the least passage half in words; longer items have longer passages. The index is broadcast; items beyond index_bytes of text are indexed in parts of that size, one pass
     over the corpus each, with statistics of all items. Null and empty texts and items match nothing.
     Of repeated item ids each row is an item. Repeated documents give a row each. Extra columns are
     ignored. Empty tables give an empty result.
@@ -216,11 +244,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, questi
     found = None
     for part in range(n_parts):
         rows = sorted((r["item_id"], r["text"]) for r in usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).collect())
-        rows = [r for r in rows if len(term_hashes(r[1]))]
-        if not rows:
+        groups = index_by_length(rows, stats, half)
+        if not groups:
             continue
-        index = spark.sparkContext.broadcast(build_index(rows, stats))
-        got = base.mapInArrow(_probe(index, threshold, question, answer, half), SCHEMA)
+        got = base.mapInArrow(_probe(spark.sparkContext.broadcast(groups), threshold, question, answer), SCHEMA)
         found = got if found is None else found.unionByName(got)
     return found if found is not None else spark.createDataFrame([], SCHEMA)
 
@@ -240,17 +267,19 @@ def _statistics(items: DataFrame) -> tuple[int, float, dict[int, int]]:
     return n, sum(r["size"] for r in counts) / max(1, n), {r["t"] & ((1 << 64) - 1): r["n"] for r in counts if r["n"]}
 
 
-def _probe(index, threshold: float, question: float, answer: float, half: int):
+def _probe(groups, threshold: float, question: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=1 << 21):
-            ix = index.value
-            best: dict[tuple[int, int], tuple] = {}
-            for text, i, score, start, end, near in search(ix, *flat(b.column("text")), threshold, half):
-                q, a = overlap(ix.questions[i], near), overlap(ix.answers[i], near)
-                if q >= question and a >= answer and (score, -start) > best.get((text, i), (0.0, 1))[:2]:
-                    best[text, i] = (score, -start, end, q, a)
+            words, at = hashed_words(*flat(b.column("text")))
             ids = b.column("doc_id").to_pylist()
-            rows = [(ids[t], ix.ids[i], s, -m, e, q, a) for (t, i), (s, m, e, q, a) in sorted(best.items())]
+            rows = []
+            for half, ix in groups.value:
+                best: dict[tuple[int, int], tuple] = {}
+                for text, i, score, start, end, near in search_words(ix, words, at, threshold, half):
+                    q, a = overlap(ix.questions[i], near), overlap(ix.answers[i], near)
+                    if q >= question and a >= answer and (score, -start) > best.get((text, i), (0.0, 1))[:2]:
+                        best[text, i] = (score, -start, end, q, a)
+                rows += [(ids[t], ix.ids[i], s, -m, e, q, a) for (t, i), (s, m, e, q, a) in sorted(best.items())]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             names = ["doc_id", "item_id", "score", "start_word", "end_word", "question_overlap", "answer_overlap"]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
