@@ -1,19 +1,21 @@
 """From raw documents to shards of a training mix, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
-to the shared folder and reads it again for the next stage.
+to the shared folder and reads it again for the next stage. Every row is a document of its own and
+has its own verdict, whether its id is null, repeated or neither.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilworks.llm.decontamination import decontaminate
-from veilworks.llm.engine import table
+from veilworks.llm.engine import prefix_sums, settle, table
 from veilworks.llm.mixing import mix_sources
 from veilworks.llm.neardup import near_duplicates
 from veilworks.llm.quality import fit_quality, score_quality
@@ -22,32 +24,51 @@ from veilworks.llm.sharding import shard_by_bytes
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def by_row(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """step(docs), which decides by doc_id, so that each row is decided for itself.
+
+    Where ids are null or repeated, step sees row numbers in their place, in order of id (null last),
+    then of the row's other columns; the rows that it gives back have their own ids again."""
+    docs = docs.select(COLUMNS)
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return step(docs).select(COLUMNS)
+    order = ["_last", "doc_id", "_text", "source", "lang", "n_chars"]
+    known = docs.withColumn("_last", F.col("doc_id").isNull()).withColumn("_text", F.xxhash64("text"))
+    rows = settle(prefix_sums(known, order, {"_row": F.lit(1)}, docs.count()))
+    numbered = rows.withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.col("_row")).select(*COLUMNS, "_id")
+    return step(numbered).withColumn("doc_id", F.col("_id")).select(COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; rows with equal id are scored each, and one verdict holds for an id."""
+    """Documents that the classifier accepts, each row by its own text; rows with a null or repeated id too."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    good = score_quality(docs, model).groupBy("doc_id").agg(F.max("predicted").alias("_good")).filter("_good = 1").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(COLUMNS)
+    return by_row(docs, lambda rows: rows.join(score_quality(rows, model).filter("predicted = 1").select("doc_id"), "doc_id", "left_semi"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of smallest id, of each group of near copies: five-word shingles, similarity 0.8."""
-    keep = near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(COLUMNS)
+    """One row, of smallest id, of each group of near copies: five-word shingles, similarity 0.8.
+
+    Rows with a null id are compared as all others and come last; of rows that repeat an id and text one stays."""
+    return by_row(docs, lambda rows: rows.join(near_duplicates(rows, k=5, percent=80).filter("kept").select("doc_id"), "doc_id", "left_semi"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item leaks."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    """Documents in which no benchmark item leaks, each row by its own text; rows with a null or repeated id too."""
+    return by_row(docs, lambda rows: decontaminate(rows, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the mix takes, up to three of a document, as rows; rows with equal id each get the epochs that any of them takes."""
-    times = mix_sources(docs).groupBy("doc_id").agg(F.size(F.collect_set("epoch")).alias("_times"))
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(COLUMNS)
+    """The copies that the mix takes, up to three of a document, as rows; each row counts for itself, with a null or repeated id too."""
+
+    def step(rows: DataFrame) -> DataFrame:
+        times = mix_sources(rows).groupBy("doc_id").agg(F.size(F.collect_set("epoch")).alias("_times"))
+        return rows.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+
+    return by_row(docs, step)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of each row of the mix."""
+    """(doc_id, size, text_crc32, shard, slot) of each row of the mix, rows with a null or repeated id too."""
     return shard_by_bytes(docs, 8)
 
 

@@ -187,6 +187,35 @@ def test_mix_stage_repeated_ids(spark):
     assert rows and max(sum(r["doc_id"] == i for r in rows) for i in (2, 3)) <= 3 and sum(r["doc_id"] == 1 for r in rows) <= 6
 
 
+def test_stages_decide_by_row(spark):
+    """Rows with null and repeated ids through the pipeline's stages."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    scores = {r["doc_id"]: r["predicted"] for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    good, bad = (next(texts[i] for i in sorted(scores) if scores[i] == p and len(WORD.findall(texts[i] or "")) > 30) for p in (1, 0))
+    odd = [(None, good), (900_001, good), (900_001, bad), (900_002, good), (900_002, good), (None, bad)]
+    more = spark.createDataFrame([(i, t, "en", "odd", 1) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars int").select([F.col(f.name).cast(f.dataType) for f in docs.select(corpus_pipeline.COLUMNS).schema])
+    got = corpus_pipeline.quality(spark, docs.select(corpus_pipeline.COLUMNS).unionByName(more), sf).filter("source = 'odd'").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] == good) for r in got) == [(0, True), (900_001, True), (900_002, True), (900_002, True)]
+
+    words = [" ".join(f"{c}{n}" for n in range(40)) for c in "abcd"]
+    rows = frame(spark, [words[0], words[0], words[0], words[1], words[2], words[2], words[3]], [5, 5, None, None, 7, 9, 7])
+    left = corpus_pipeline.dedup(spark, rows, SMALL).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in left) == [(0, "b"), (5, "a"), (7, "c"), (7, "d")]
+
+    item = next(r["text"] for r in table(spark, SMALL, "benchmark").collect() if len(WORD.findall(r["text"] or "")) > 20)
+    rows = frame(spark, [item, words[0], item, words[1]], [None, None, 3, 3])
+    left = corpus_pipeline.benchmark(spark, rows, SMALL).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in left) == [(0, "a"), (3, "b")]
+
+    rows = frame(spark, words, [None, None, 1, 1])
+    assert {(r["doc_id"], r["text"][0]) for r in corpus_pipeline.mix(spark, rows, SMALL).collect()} >= {(r["doc_id"], r["text"][0]) for r in rows.collect() if r["source"] is None}
+    assert None in {r["doc_id"] for r in corpus_pipeline.mix(spark, rows, SMALL).collect()}
+
+
 def brute_pieces(pieces, word):
     n = 0
     while word:
