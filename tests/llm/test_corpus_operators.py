@@ -179,6 +179,14 @@ def test_mix(spark):
     assert sorted(r["doc_id"] for r in twice) == [1, 1, 2, 2, 3] and mixing.taken_words(nothing(spark)).count() == 0
 
 
+def test_mix_leaves_no_source_out(spark):
+    """Sources far smaller than 1 / n_slots of all words."""
+    rows = [(i, "w " * 100_000, "large") for i in range(10)] + [(100 + i, "a b c", f"tiny{i}") for i in range(10)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("size").alias("n"), F.max("target").alias("target")).collect()
+    assert {r["source"]: r["n"] for r in got if r["source"] != "large"} == {f"tiny{i}": 9 for i in range(10)}
+    assert all(abs(r["n"] - r["target"]) <= 100_000 for r in got)
+
+
 def test_mix_stage_repeated_ids(spark):
     import corpus_pipeline
 

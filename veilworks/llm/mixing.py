@@ -33,9 +33,11 @@ def fill_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...]
     return [(k, size[k], target[k]) for k, _ in order]
 
 
-def schedule(spark, targets: list[tuple[str | None, float]], n_slots: int) -> DataFrame:
-    """(slot, source, block): golden-ratio points mapped through the cumulative targets; block ranks a
-    source's slots. A source's share of any stretch of slots is within a few slots of its target."""
+def schedule(spark, targets: list[tuple[str | None, float]], n_slots: int, least: int = 8) -> tuple[DataFrame, dict[int, int]]:
+    """(slot, source, block) and the number of slots of each source: golden-ratio points mapped through the
+    cumulative targets; block ranks a source's slots. A source's share of any stretch of slots is within a
+    few slots of its target. A source with a target that gets fewer than `least` slots that way has `least`
+    evenly spread ones instead, which it may share with other sources."""
     total = sum(t for _, t in targets) or 1.0
     at, cuts = 0.0, []
     for k, t in targets:
@@ -46,16 +48,22 @@ def schedule(spark, targets: list[tuple[str | None, float]], n_slots: int) -> Da
     for i in range(len(cuts) - 2, -1, -1):
         index = F.when(point < F.lit(cuts[i][1]), F.lit(i)).otherwise(index)
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), index.alias("_source"))
-    return slots.select("slot", "_source", (F.row_number().over(Window.partitionBy("_source").orderBy("slot")) - 1).cast("long").alias("block"))
+    counts = {r["_source"]: r["count"] for r in slots.groupBy("_source").count().collect()}  # one row a source
+    few = [i for i, (_, t) in enumerate(targets) if t > 0 and counts.get(i, 0) < least]
+    if few:
+        own = [(int((j + (i + 1) * GOLDEN % 1.0) * n_slots / least), i) for i in few for j in range(least)]
+        slots = slots.filter(~F.col("_source").isin(few)).unionByName(spark.createDataFrame(own, "slot long, _source int"))
+        counts.update(dict.fromkeys(few, least))
+    return slots.select("slot", "_source", (F.row_number().over(Window.partitionBy("_source").orderBy("slot")) - 1).cast("long").alias("block")), counts
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int = 3, n_slots: int = 1 << 16, source_col: str = "source") -> DataFrame:
     """(slot, doc_id, size, source, epoch, source_size, target) of each document copy that the mix takes, in slot order.
 
-    A block holds total / n_slots words. Each source's documents are shuffled by a hash and laid
-    end to end, once for each epoch; a copy belongs to the block in which its middle lies, and it is taken
-    if the schedule has a slot for that block. Slots per source come to its target within a few
-    blocks, taken words within a document more. Source statistics cover every row; sources are few
+    A source's target is cut into as many equal blocks as the schedule has slots for it, of about
+    total / n_slots words or less. Each source's documents are shuffled by a hash and laid end to end, once
+    for each epoch; a copy belongs to the block in which its middle lies, and it is taken if that is one
+    of the source's blocks. So taken words come to the target within a document, however small it is. Source statistics cover every row; sources are few
     (one row each on the driver). Null text: size 0, taken where it falls. Null source: a source of
     its own. An empty table gives an empty mix. The schedule is the same in each run.
     """
@@ -65,34 +73,33 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs:
 
 def mix_copies(docs: DataFrame, weights: tuple[float, ...], epochs: int, n_slots: int, source_col: str) -> DataFrame:
     """Every copy of every document with the slot of its block, null where the mix does not take it."""
-    placed, info = plan_mix(docs, weights, epochs, n_slots, source_col)
+    placed, slots = plan_mix(docs, weights, epochs, n_slots, source_col)
     if placed is None:
         return docs.sparkSession.createDataFrame([], "slot long, _row long, doc_id long, size long, start long, source string, epoch int, source_size long, target double")
-    slots = schedule(docs.sparkSession, [(k, t) for k, _, t in info], n_slots)
     copies = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn(
         "block", F.floor((F.col("start") + F.col("size") / 2 + F.col("epoch") * F.col("source_size")) / F.col("_block")).cast("long")
     )
-    return copies.join(F.broadcast(slots), ["_source", "block"], "left")  # n_slots rows: a parameter
+    return copies.join(F.broadcast(slots), ["_source", "block"], "left")  # n_slots rows, a parameter, and a few a source
 
 
 def plan_mix(docs: DataFrame, weights, epochs: int, n_slots: int, source_col: str):
-    """Documents with their word start within their source; the targets. Both None for an empty table."""
+    """Documents with their word start within their source and the length of its blocks; the schedule. Both None for an empty table."""
     spark = docs.sparkSession
     sized = docs.select("doc_id", F.col(source_col).alias("source"), word_count().alias("size"))
     sized = settle(sized)  # words are counted once
     per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     if not per:
-        return None, []
+        return None, None
     info = fill_targets([(r["source"], r["size"]) for r in per], weights, epochs)
+    slots, counts = schedule(spark, [(k, t) for k, _, t in info], n_slots)
     at, bases = 0, []
     for i, (k, size, target) in enumerate(info):
-        bases.append((k, i, size, target, at))
+        bases.append((k, i, size, target, at, max(target / max(1, counts.get(i, 0)), 1e-9)))
         at += size
-    block = max(sum(t for _, _, t in info) / n_slots, 1e-9)
-    facts = F.broadcast(spark.createDataFrame(bases, "_k string, _source int, source_size long, target double, _base long"))
+    facts = F.broadcast(spark.createDataFrame(bases, "_k string, _source int, source_size long, target double, _base long, _block double"))
     known = sized.join(facts, F.col("source").eqNullSafe(F.col("_k"))).drop("_k").withColumn("_shuffle", F.xxhash64(F.lit(7), "doc_id"))
     placed = prefix_sums(known, ["_source", "_shuffle", "doc_id", "size"], {"_at": F.col("size"), "_row": F.lit(1)}, sum(r["n"] for r in per))
-    return placed.withColumn("start", F.col("_at") - F.col("_base")).withColumn("_block", F.lit(block)), info
+    return placed.withColumn("start", F.col("_at") - F.col("_base")), slots
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
