@@ -120,6 +120,16 @@ def test_near_duplicates(spark, small):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect())
 
 
+def test_near_duplicates_of_unlike_signatures(spark):
+    """Pairs at similarity 0.8 whose signatures agree in 37 or 38 of 64 positions only."""
+    numbers = [23515, 29248, 29386]
+    texts = [" ".join([f"c{n}x{i}" for i in range(80)] + [f"{side}{n}x{i}" for i in range(10)]) for n in numbers for side in "ab"]
+    sig = neardup.signatures(neardup.shingle_sets(*textbytes.flat(pa.array(texts)), 1))
+    assert (sig[0::2] == sig[1::2]).sum(1).tolist() == [37, 38, 37]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts), 1, 80).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_near_duplicates_empty_and_null_ids(spark):
     assert neardup.near_duplicates(nothing(spark)).count() == 0
     got = neardup.near_duplicates(frame(spark, ["a b c", "a b c", "a b c"], [1, 5, None])).collect()

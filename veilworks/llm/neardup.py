@@ -4,9 +4,10 @@ Documents are sets of word shingles. Equal sets are one class from the start; wh
 one representative of each. A tree branches the representatives by tokens of their minwise
 signature: in each node a few signature positions are chosen by the node's path, about 1 / threshold
 of them, and a representative goes on to the child named by its value there. Nodes that have become
-small are compared exhaustively on signatures; independent trees repeat this, so that a pair at the
-threshold is missed by all of them with a probability of about 1e-5. Every link is confirmed on the
-full sets of both texts.
+small are compared exhaustively on signatures; independent trees repeat this. A pair at the threshold
+0.8 is missed with a probability of about 1e-5: by all trees, where its nodes stay large, about 6e-6,
+and by signatures that agree in fewer than 36 of 64 positions, at any size, 4e-6. Every link is
+confirmed on the full sets of both texts.
 
 What a group of near copies costs stays in proportion to its size: a node gives a star over those
 that are surely alike and a spanning forest of the rest. A second round compares, within each node,
@@ -297,7 +298,7 @@ def confirm_rest(alike: DataFrame, joined: DataFrame, docs: DataFrame, k: int, p
     return texts.groupBy("group", "s", "r").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 12, depth: int = 3, small: int = 256, slack: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, depth: int = 3, small: int = 256, slack: float = 0.25) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles
