@@ -80,6 +80,22 @@ def test_substrings(spark, window):
     assert all(sum(x["end"] - x["start"] for x in r["removed"]) == r["n_removed"] for r in got.collect())
 
 
+def test_substrings_come_from_anchors_alone():
+    """One chunk with a repeat: without hits nothing goes, with its hits the maximal repeat does, whole."""
+    shared = [f"s{i}" for i in range(70)]
+    texts = [" ".join(["a"] * 7 + shared), " ".join(["b"] * 11 + shared + ["c"] * 5)]
+    t = pa.table({"doc_id": [1, 2], "text": texts, "chunk": [0, 0]})
+    cells = substrings.anchors_of(50, 25, 0)(t)
+    hits = substrings.match_anchors(cells)
+    none = pa.table({"chunk": pa.array([], pa.int32()), "k1": pa.array([], pa.binary()), "k2": pa.array([], pa.binary())})
+    digests = substrings.match_windows(substrings.windows_of(50, 25, 0)(t, hits)) if hits.num_rows else none
+    marks = pa.concat_tables([hits, digests], promote_options="default")
+    assert substrings.finish(50, 25, 0)(t, marks.slice(0, 0)).column("n_removed").to_pylist() == [0, 0]
+    assert substrings.windows_of(50, 25, 0)(t, hits.slice(0, 0)).num_rows == 0
+    got = substrings.finish(50, 25, 0)(t, marks).to_pylist()
+    assert [(r["n_removed"], r["removed"]) for r in got] == [(0, []), (70, [{"start": 11, "end": 81}])]
+
+
 def test_substrings_empty_null_ids_and_repeats(spark):
     assert substrings.remove_repeats(nothing(spark)).count() == 0
     text = " ".join(map(str, range(60)))

@@ -14,14 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: written once to the cluster's shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a local session, as in tests; on a cluster it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint")
+    return folder
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, a
-    temporary one is made."""
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage: written once to the cluster's shared checkpoint folder and read from there."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -38,11 +47,13 @@ def prefix_sums(df: DataFrame, order: list[str], values: dict[str, Column], rows
     """df with, for each name in values, the sum of that column over all rows before this one in `order`.
 
     Two passes, no global window: rows are dealt by range, each part is summed, the totals (one row
-    a part) get their running sum, and each part adds its own. `order` must be a total order, else
-    equal rows are placed as they come. Parts of one range are cut by rows, so a hot value is split
-    over parts where `order` has a finer column.
+    a part) get their running sum, and each part adds its own. Rows that are equal in all columns of
+    `order` are put in the order in which they were read, so a hot value is split over parts as well;
+    df is a scan or settled, so that a task that runs again reads them in the same order.
     """
-    ranged = settle(df.select("*", *[v.cast("long").alias(f"_{k}") for k, v in values.items()]).repartitionByRange(parts_for(rows, rows_per_part), *order).withColumn("_part", F.spark_partition_id()))
+    known = df.select("*", *[v.cast("long").alias(f"_{k}") for k, v in values.items()], F.monotonically_increasing_id().alias("_tie"))
+    order = [*order, "_tie"]
+    ranged = settle(known.repartitionByRange(parts_for(rows, rows_per_part), *order).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(*[F.sum(f"_{k}").alias(f"_all_{k}") for k in values])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     offsets = totals.select("_part", *[F.coalesce(F.sum(f"_all_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in values])

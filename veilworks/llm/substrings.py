@@ -2,34 +2,48 @@
 
 Each document, as reference, is cut into non-overlapping blocks of b words; as query, it is read in
 every rolling window of b words. A repeat of w >= 2b - 1 words holds a whole block of the earlier
-document, so each repeat shows as a rolling window that meets a block. Around such hits all windows
-of w words are compared by 128-bit digest, and the repeated ones join into maximal repeats.
-
-Documents are dealt into chunks by a hash of their id. What a chunk sends is made distinct first, so
-a passage that a third of all documents share is sent once a chunk, never once a document, and no
-pairs of documents are formed at any point. The texts are shuffled once; Spark reuses that exchange
-in all three passes over them.
+document, so each repeat shows as a hit: a rolling window that meets a block. A hit is extended word
+by word to both sides: every window of w words that holds it is looked up by a 128-bit digest, and
+the smallest document in which it starts is found. Windows that start in a smaller document join into
+maximal repeats, and these are removed. Nothing else is looked at: without hits nothing goes.
+
+Documents are dealt into chunks by a hash. What a chunk sends is made distinct first, so a passage
+that a third of all documents share is sent once a chunk, never once a document, and no pairs of
+documents are formed at any point. The texts are shuffled once; Spark reuses that exchange in all
+three passes over them. A chunk sends one cell to each bucket that it has values for; chunks and
+buckets grow with the square root of the input, so that the number of cells grows in proportion to it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilworks.llm.engine import parts_for, table, text_bytes
-from veilworks.llm.textbytes import flat, owners, rolling, span_hashes, spans, window_starts
+from veilworks.llm.textbytes import BYTE_VALUES, flat, owners, rolling, span_hashes, spans, window_starts
 
 #: Bits of an anchor's hash within its bucket, and bytes of a packed anchor with its two flags.
 _ANCHOR_BITS, _ANCHOR_BYTES = 38, 5
 _NULL_ID = (1 << 63) - 1
+#: Bytes of text for which a chunk sends one cell to one bucket, once chunks and buckets outgrow their least sizes.
+_TEXT_PER_CELL = 640
 
 
 def _words(t: pa.Table):
+    """The texts on end, their offsets, two independent hashes of each word, and the word offsets."""
     data, offsets = flat(t.column("text"))
     starts, ends, at = spans(data, offsets)
-    return data, offsets, span_hashes(data, starts, ends), at
+    return data, offsets, span_hashes(data, starts, ends), span_hashes(data, starts, ends, BYTE_VALUES[1]), at
+
+
+def _known(hits: pa.Table) -> np.ndarray:
+    """The anchors of a chunk's hits, ascending."""
+    rows = [(k, b) for k, b in zip(hits.column("bucket").to_pylist(), hits.column("hits").to_pylist(), strict=True) if b is not None]
+    return np.sort(np.concatenate([_unpack(b) | np.uint64(k << _ANCHOR_BITS) for k, b in rows])) if rows else np.zeros(0, np.uint64)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -77,7 +91,9 @@ def anchors_of(window: int, block: int, buckets_log2: int):
 
     def run(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
-        _, _, h, at = _words(t)
+        data, offsets = flat(t.column("text"))
+        starts, ends, at = spans(data, offsets)
+        h = span_hashes(data, starts, ends)
         valid = window_starts(at, block)
         of = owners(at)[valid]
         ref = ((valid - at[of]) % block) == 0
@@ -140,9 +156,8 @@ def windows_of(window: int, block: int, buckets_log2: int):
         if not t.num_rows or not hits.num_rows:
             return empty
         chunk = t.column("chunk")[0].as_py()
-        known = np.sort(np.concatenate([_unpack(b) | np.uint64(k << _ANCHOR_BITS) for k, b in zip(hits.column("bucket").to_pylist(), hits.column("hits").to_pylist(), strict=True)]))
-        _, _, h, at = _words(t)
-        k1, k2, of, _ = candidates(h, at, known, window, block, total)
+        _, _, h, g, at = _words(t)
+        k1, k2, of, _ = extended(h, g, at, _known(hits), window, block, total)
         if not len(k1):
             return empty
         doc = _ids(t)[of]
@@ -163,10 +178,12 @@ def windows_of(window: int, block: int, buckets_log2: int):
     return run
 
 
-def candidates(h: np.ndarray, at: np.ndarray, known: np.ndarray, window: int, block: int, total: int):
-    """Digests, owners and positions of the windows in which some block-sized window is a known anchor."""
+def extended(h: np.ndarray, g: np.ndarray, at: np.ndarray, known: np.ndarray, window: int, block: int, total: int):
+    """Digests, owners and positions of the windows that hold a hit: all ways to extend it to `window` words within its text.
+
+    h and g are two independent hashes of the words, so that a digest rests on 128 bits of each."""
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(h) < window:
+    if len(h) < window or not len(known):
         return none
     hit = _member(rolling(h, block) >> np.uint64(64 - total), known)
     sums = np.concatenate([[0], np.cumsum(hit)])
@@ -174,7 +191,7 @@ def candidates(h: np.ndarray, at: np.ndarray, known: np.ndarray, window: int, bl
     s = s[sums[s + window - block + 1] > sums[s]]
     if not len(s):
         return none
-    return rolling(h, window)[s], rolling(h, window, 1)[s], owners(at)[s], s
+    return rolling(h, window)[s], rolling(g, window, 1)[s], owners(at)[s], s
 
 
 def match_windows(t: pa.Table) -> pa.Table:
@@ -187,20 +204,18 @@ def match_windows(t: pa.Table) -> pa.Table:
     order, first = _sort_digests(k1, k2)
     least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
     gone = order[least < doc[order]]
-    gone = np.sort(gone)
-    out = [(chunks[s], k1[g].tobytes(), k2[g].tobytes()) for s in np.unique(source[gone]).tolist() for g in [gone[source[gone] == s]]]
+    by = np.argsort(source[gone], kind="stable")
+    gone, of = gone[by], source[gone][by]
+    at = [*_runs(of).tolist(), len(of)]
+    out = [(chunks[of[a]], k1[gone[a:b]].tobytes(), k2[gone[a:b]].tobytes()) for a, b in zip(at, at[1:], strict=False)]
     return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "k1": pa.array([x[1] for x in out], pa.binary()), "k2": pa.array([x[2] for x in out], pa.binary())})
 
 
-def repeated_windows(h: np.ndarray, at: np.ndarray, ids: np.ndarray, gone1: np.ndarray, gone2: np.ndarray, window: int) -> np.ndarray:
-    """Positions of windows that start in a smaller document: of another chunk (gone*), or of this one."""
-    s = window_starts(at, window)
-    if not len(s):
-        return s
-    k1, k2, doc = rolling(h, window)[s], rolling(h, window, 1)[s], ids[owners(at)[s]]
+def repeated(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, gone1: np.ndarray, gone2: np.ndarray) -> np.ndarray:
+    """Whether each extended window starts in a smaller document: of this chunk, or of another one (gone*)."""
     order, first = _sort_digests(k1, k2)
-    least = np.empty(len(s), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
+    least = np.empty(len(k1), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order)))) if len(first) else 0
     out = least < doc
     if len(gone1):
         i = np.argsort(gone1, kind="stable")
@@ -210,17 +225,20 @@ def repeated_windows(h: np.ndarray, at: np.ndarray, ids: np.ndarray, gone1: np.n
         out[maybe] = gone2[left] == k2[maybe]
         for m in np.flatnonzero((right - left > 1) & ~out[maybe]):
             out[maybe[m]] = (gone2[left[m] : right[m]] == k2[maybe[m]]).any()
-    return s[out]
+    return out
 
 
-def finish(window: int):
-    """Texts of a chunk and its repeated windows -> one row a document with what is removed and what is kept."""
+def finish(window: int, block: int, buckets_log2: int):
+    """Texts of a chunk, its hits and its windows that start in smaller documents of other chunks ->
+    one row a document with its maximal repeats, which are removed, and what is kept."""
+    total = buckets_log2 + _ANCHOR_BITS
 
-    def run(t: pa.Table, gone: pa.Table) -> pa.Table:
-        data, offsets, h, at = _words(t)
-        gone1, gone2 = (np.frombuffer(b"".join(gone.column(k).to_pylist()), np.uint64) for k in ("k1", "k2"))
+    def run(t: pa.Table, marks: pa.Table) -> pa.Table:
+        data, offsets, h, g, at = _words(t)
+        gone1, gone2 = (np.frombuffer(b"".join(x for x in marks.column(k).to_pylist() if x), np.uint64) for k in ("k1", "k2"))
         ids = _ids(t)
-        starts = repeated_windows(h, at, ids, gone1, gone2, window)
+        k1, k2, of, s = extended(h, g, at, _known(marks), window, block, total)
+        starts = s[repeated(k1, k2, ids[of], gone1, gone2)]
         mark = np.zeros(len(h) + 1, np.int64)
         np.add.at(mark, starts, 1)
         np.add.at(mark, starts + window, -1)  # a window ends within its document
@@ -258,19 +276,23 @@ def remove_repeats(docs: DataFrame, window: int = 50, chunk_bytes: int = 8 << 20
     smaller id; all windows are judged on the input. Words are runs of bytes other than 0x20 and 0x09
     to 0x0D, compared as they are. A null or empty text has no words and keeps ''. Rows of one id are
     one document to each other: none removes the other. A null id counts as the largest. Extra columns
-    are ignored; an empty table gives an empty result. On large executors give larger chunk_bytes.
+    are ignored; an empty table gives an empty result. A chunk is worked on in memory, at about 25 bytes
+    for each byte of text: at 100 TB chunks are of 250 MB; on large executors give larger chunk_bytes.
     """
     block = (window + 1) // 2
     size = text_bytes(docs)
-    n_chunks = parts_for(size, chunk_bytes)
-    log2 = max(0, (parts_for(size, bucket_bytes) - 1).bit_length())
+    even = math.isqrt(size * _TEXT_PER_CELL)
+    n_chunks = parts_for(size, max(chunk_bytes, even))
+    log2 = max(0, (parts_for(size, max(bucket_bytes, even)) - 1).bit_length())
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
+    # rows of one id are dealt by their text too, so that no id fills a chunk
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int")).repartition(n_chunks, "chunk")
     cells = base.groupBy("chunk").applyInArrow(anchors_of(window, block, log2), "bucket long, chunk int, anchors binary")
-    hits = cells.groupBy("bucket").applyInArrow(match_anchors, "chunk int, bucket long, hits binary")
+    hits = cells.groupBy("bucket").applyInArrow(match_anchors, "chunk int, bucket long, hits binary").repartition(n_chunks, "chunk")
     digests = base.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(windows_of(window, block, log2), "bucket long, chunk int, k1 binary, k2 binary, docs binary")
     gone = digests.groupBy("bucket").applyInArrow(match_windows, "chunk int, k1 binary, k2 binary")
-    out = base.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish(window), "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string")
+    marks = hits.unionByName(gone, allowMissingColumns=True).repartition(n_chunks, "chunk")
+    out = base.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(finish(window, block, log2), "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(_NULL_ID), F.col("doc_id")))
 
 

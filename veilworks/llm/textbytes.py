@@ -52,6 +52,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Two sets of values of the 256 bytes: their numbers from 1, and random ones from a rule.
+BYTE_VALUES = (np.arange(1, 257, dtype=np.uint64), mix(np.arange(501, 757, dtype=np.uint64)))
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts on end, and n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -100,8 +104,10 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE)
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES[0]) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap.
+
+    values: what each byte counts as; another of BYTE_VALUES gives a hash independent of the first."""
     out = np.empty(len(starts), np.uint64)
     at, n = 0, len(starts)
     while at < n:
@@ -110,7 +116,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         size = int(ends[to - 1] - base)
         up, down = _power_tables(size + 1)
         sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((data[base : base + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
+        np.cumsum(values[data[base : base + size]] * up[:size], out=sums[1:])
         s, e = starts[at:to] - base, ends[at:to] - base
         out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_ROLL[0])
         at = to
