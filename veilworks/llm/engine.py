@@ -61,3 +61,13 @@ def prefix_sums(df: DataFrame, order: list[str], values: dict[str, Column], rows
     own = ranged.select("*", *[F.coalesce(F.sum(f"_{k}").over(within), F.lit(0)).alias(f"_own_{k}") for k in values])
     joined = own.join(offsets, "_part")
     return joined.select(*[c for c in df.columns], *[(F.col(f"_own_{k}") + F.col(f"_base_{k}")).alias(k) for k in values])
+
+
+def numbered(docs: DataFrame) -> DataFrame | None:
+    """docs with _row, a number of its own for each row, in order of id (null last), then of a hash of the text;
+    None where no id is null or repeated, so that the ids serve as they are."""
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return None
+    known = docs.withColumns({"_last": F.col("doc_id").isNull(), "_text": F.xxhash64("text")})
+    order = ["_last", "doc_id", "_text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    return settle(prefix_sums(known, order, {"_row": F.lit(1)}, docs.count()).drop("_last", "_text"))

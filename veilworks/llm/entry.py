@@ -22,4 +22,5 @@ SQL = {
     "op2_minhash_neardup": neardup.OP2_SQL,
     "op4_sharding": sharding.OP4_SQL,
     "op8_chat_format": chat.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veilworks.llm.engine import prefix_sums, settle, table
 
@@ -37,24 +38,23 @@ def schedule(spark, targets: list[tuple[str | None, float]], n_slots: int, least
     """(slot, source, block) and the number of slots of each source: golden-ratio points mapped through the
     cumulative targets; block ranks a source's slots. A source's share of any stretch of slots is within a
     few slots of its target. A source with a target that gets fewer than `least` slots that way has `least`
-    evenly spread ones instead, which it may share with other sources."""
-    total = sum(t for _, t in targets) or 1.0
-    at, cuts = 0.0, []
-    for k, t in targets:
-        at += t / total
-        cuts.append((k, at))
-    point = (F.col("slot") + 1) * F.lit(GOLDEN) % 1.0
-    index = F.lit(len(cuts) - 1)
-    for i in range(len(cuts) - 2, -1, -1):
-        index = F.when(point < F.lit(cuts[i][1]), F.lit(i)).otherwise(index)
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), index.alias("_source"))
-    counts = {r["_source"]: r["count"] for r in slots.groupBy("_source").count().collect()}  # one row a source
-    few = [i for i, (_, t) in enumerate(targets) if t > 0 and counts.get(i, 0) < least]
-    if few:
-        own = [(int((j + (i + 1) * GOLDEN % 1.0) * n_slots / least), i) for i in few for j in range(least)]
-        slots = slots.filter(~F.col("_source").isin(few)).unionByName(spark.createDataFrame(own, "slot long, _source int"))
-        counts.update(dict.fromkeys(few, least))
-    return slots.select("slot", "_source", (F.row_number().over(Window.partitionBy("_source").orderBy("slot")) - 1).cast("long").alias("block")), counts
+    evenly spread ones instead, which it may share with other sources. The points are looked up among the
+    cumulative targets at once; the schedule has n_slots rows, a parameter, and `least` for each small source."""
+    cuts = np.cumsum([t for _, t in targets])
+    points = (np.arange(1, n_slots + 1) * GOLDEN) % 1.0
+    source = np.minimum(np.searchsorted(cuts, points * (cuts[-1] or 1.0), side="right"), len(cuts) - 1)
+    counts = np.bincount(source, minlength=len(targets))
+    few = np.flatnonzero((np.array([t for _, t in targets]) > 0) & (counts < least))
+    held = ~np.isin(source, few)
+    own = ((np.arange(least)[None, :] + (few[:, None] + 1) * GOLDEN % 1.0) * n_slots / least).astype(np.int64)
+    slot = np.concatenate([np.flatnonzero(held), own.ravel()])
+    source = np.concatenate([source[held], np.repeat(few, least)])
+    order = np.lexsort((slot, source))
+    slot, source = slot[order], source[order]
+    counts = np.bincount(source, minlength=len(targets))
+    block = np.arange(len(slot)) - np.repeat(np.cumsum(counts) - counts, counts)
+    table = spark.createDataFrame(pd.DataFrame({"slot": slot, "_source": source.astype(np.int32), "block": block}), "slot long, _source int, block long")
+    return table, dict(enumerate(counts.tolist()))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int = 3, n_slots: int = 1 << 16, source_col: str = "source") -> DataFrame:
@@ -97,7 +97,7 @@ def plan_mix(docs: DataFrame, weights, epochs: int, n_slots: int, source_col: st
         bases.append((k, i, size, target, at, max(target / max(1, counts.get(i, 0)), 1e-9)))
         at += size
     facts = F.broadcast(spark.createDataFrame(bases, "_k string, _source int, source_size long, target double, _base long, _block double"))
-    known = sized.join(facts, F.col("source").eqNullSafe(F.col("_k"))).drop("_k").withColumn("_shuffle", F.xxhash64(F.lit(7), "doc_id"))
+    known = sized.join(facts, F.col("source").eqNullSafe(F.col("_k"))).drop("_k").withColumn("_shuffle", F.coalesce(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), F.lit("")))
     placed = prefix_sums(known, ["_source", "_shuffle", "doc_id", "size"], {"_at": F.col("size"), "_row": F.lit(1)}, sum(r["n"] for r in per))
     return placed.withColumn("start", F.col("_at") - F.col("_base")), slots
 
@@ -109,6 +109,30 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 def taken_words(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of docs, rows that are alike in all columns included."""
     copies = mix_copies(docs, (5, 2, 1), 3, 1 << 16, "source")
-    row = ["_row", "doc_id", "source", "start", "size", "source_size", "target"]
     taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("size"))), F.lit(0)).cast("long")
-    return copies.groupBy(*row).agg(taken.alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    facts = ["doc_id", "size", "source_size", "target"]
+    return copies.groupBy("_row").agg(*[F.first(c).alias(c) for c in facts], taken.alias("taken")).drop("_row")
+
+
+#: DuckDB SQL for op9_mixing. What a source's blocks cover is the stretch from 0 to its target; a copy is taken if its middle lies there.
+OP9_SQL = r"""
+WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)] AS weight FROM sized GROUP BY source),
+fill AS (
+  SELECT 0 AS round, source, source_size, weight, CAST(NULL AS DOUBLE) AS target, CAST(sum(source_size) OVER () AS DOUBLE) AS left_, false AS done FROM per
+  UNION ALL
+  SELECT round + 1, source, source_size, weight, CASE WHEN target IS NOT NULL THEN target WHEN any_over THEN CASE WHEN is_over THEN 3.0 * source_size END ELSE weight * share END,
+         left_ - coalesce(sum(CASE WHEN any_over AND is_over THEN 3.0 * source_size END) OVER (), 0), NOT any_over
+  FROM (SELECT *, coalesce(bool_or(is_over) OVER (), false) AS any_over FROM (
+    SELECT *, target IS NULL AND weight * share > 3.0 * source_size AS is_over FROM (
+      SELECT *, left_ / sum(CASE WHEN target IS NULL THEN weight END) OVER () AS share FROM fill WHERE NOT done)))
+  WHERE share IS NOT NULL),
+targets AS (SELECT source, source_size, arg_max(target, round) AS target FROM fill GROUP BY source, source_size),
+placed AS (
+  SELECT doc_id, size, source_size, target,
+         CAST(sum(size) OVER (PARTITION BY t.source ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(size * len(list_filter([0, 1, 2], lambda e: start + size / 2 + e * source_size < target)) AS BIGINT) AS taken
+FROM placed
+"""
