@@ -15,8 +15,9 @@ def remainder(modulus: int, id_col: str = "doc_id") -> F.Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held_out: int, bound: int) -> DataFrame:
     """(doc_id, text, label): at most `bound` rows of each label that are not held out, the same in every run.
 
-    Rows are drawn by a hash of their id. The ids are at most 2 * bound, so they are broadcast and
-    the texts are not shuffled. Of several labels of one id the highest counts.
+    Rows are drawn by a hash of their id. The ids are at most 2 * bound, so they are broadcast, and only
+    the drawn texts are shuffled. Of several labels of one id the highest counts; of several rows of one
+    id the one whose text has the smallest hash, so the rows are bounded as well.
     """
     known = (
         labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (remainder(modulus) != held_out))
@@ -24,7 +25,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: in
         .agg(F.max(target).cast("int").alias("label"))
     )
     picked = [known.filter(F.col("label") == k).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(bound) for k in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    return one.select("doc_id", F.col("r.text").alias("text"), "label")
 
 
 def auc(score: np.ndarray, label: np.ndarray) -> float:

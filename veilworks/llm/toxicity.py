@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from veilworks.llm.engine import table
+from veilworks.llm.engine import settle, table
 from veilworks.llm.learning import labelled_sample, remainder
 from veilworks.llm.quality import LETTER
 from veilworks.llm.textbytes import LOWER, SPACE, flat, owners, slices, span_hashes, spans
@@ -159,23 +160,36 @@ def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return np.stack(cols, 1).astype(np.float32) if n else np.zeros((0, len(FEATURES)), np.float32)
 
 
-def learn_lexicon(tables: list[tuple[np.ndarray, dict[int, np.ndarray], int]], keep: int = 4096) -> Lexicon:
-    """From each text's distinct word and stem hashes and its label: what is likelier in toxic texts."""
-    labels = np.array([t[2] for t in tables])
-    ones, zeros = max(1, labels.sum()), max(1, (labels == 0).sum())
+def learn_lexicon(sample: DataFrame, keep: int = 4096) -> Lexicon:
+    """What is likelier in toxic texts of sample (text, label): words, and words by their first bytes.
 
-    def odds(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if not sets:
-            return np.zeros(0, np.uint64), np.zeros(0)
-        keys, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        toxic = np.repeat(labels, [len(s) for s in sets])
-        a, b = np.bincount(inverse, toxic, len(keys)), np.bincount(inverse, 1 - toxic, len(keys))
-        weight = np.log(((a + 0.25) / (ones + 0.5)) / ((b + 0.25) / (zeros + 0.5)))
-        good = np.flatnonzero((a >= 2) & (weight >= np.log(LIST_AT)))
-        good = np.sort(good[np.argsort(-(a[good] * weight[good]), kind="stable")[:keep]])
-        return keys[good], weight[good]
+    Texts that hold a word are counted where they lie; the driver gets at most `keep` words of each kind."""
 
-    return Lexicon(odds([t[0] for t in tables]), {k: odds([t[1][k] for t in tables]) for k in STEMS})
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=1 << 19):
+            label = b.column("label").to_numpy()
+            h, stems, of, *_ = word_table(*flat(b.column("text")))
+            for kind, (who, hashes) in {0: (of, h), **{k: (of[i], x) for k, (i, x) in stems.items()}}.items():
+                order = np.lexsort((hashes, who))
+                who, hashes = who[order], hashes[order]
+                new = np.ones(len(who), bool)
+                new[1:] = (who[1:] != who[:-1]) | (hashes[1:] != hashes[:-1])
+                who, hashes = who[new], hashes[new]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), kind, np.int32)), pa.array(hashes.view(np.int64)), pa.array(label[who].astype(np.int32))], ["kind", "word", "label"])
+
+    size = sample.agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n")).first()
+    ones, zeros = max(1, size["a"] or 0), max(1, size["n"] - (size["a"] or 0))
+    found = sample.select("text", "label").mapInArrow(reduce, "kind int, word long, label int").groupBy("kind", "word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    weight = F.log((F.col("a") + 0.25) / (ones + 0.5) / ((F.col("b") + 0.25) / (zeros + 0.5)))
+    good = found.withColumn("weight", weight).filter((F.col("a") >= 2) & (F.col("weight") >= float(np.log(LIST_AT))))
+    best = Window.partitionBy("kind").orderBy(F.desc(F.col("a") * F.col("weight")), "word")
+    rows = good.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= keep).select("kind", "word", "weight").collect()
+
+    def listed(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        mine = sorted((r["word"] & ((1 << 64) - 1), r["weight"]) for r in rows if r["kind"] == kind)
+        return np.array([w for w, _ in mine], np.uint64), np.array([x for _, x in mine], float)
+
+    return Lexicon(listed(0), {k: listed(k) for k in STEMS})
 
 
 def boost(x: np.ndarray, y: np.ndarray, n_trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, least: float = 2.0) -> tuple[list, float]:
@@ -251,16 +265,10 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs), np.maximum.accumulate(np.array(ys))
 
 
-def train_toxicity(rows: list[tuple[int, np.ndarray, dict[int, np.ndarray], int, bytes]]) -> ToxicityModel:
-    """Half of the rows give the lexicon, the trees learn from the other half, which never saw their own
-    words listed; calibration uses scores that five folds give each row of that half."""
-    empty = Lexicon((np.zeros(0, np.uint64), np.zeros(0)), {})
-    if not rows:
-        return ToxicityModel(empty)
-    a, b = rows[::2], rows[1::2] or rows
-    lexicon = learn_lexicon([(r[1], r[2], r[3]) for r in a])
-    data, offsets = flat(pa.array([r[4] for r in b], pa.large_binary()))
-    x, y = features(lexicon, data, offsets), np.array([r[3] for r in b], float)
+def train_toxicity(lexicon: Lexicon, x: np.ndarray, y: np.ndarray) -> ToxicityModel:
+    """Trees from rows that never saw their own words listed; calibration uses scores that five folds give each row."""
+    if not len(y):
+        return ToxicityModel(lexicon)
     if y.min() == y.max():
         return ToxicityModel(lexicon, [], 0.0, (np.array([0.0]), np.array([(y.sum() + 1) / (len(y) + 2)])))
     fold_of, held = np.arange(len(y)) % 5, np.zeros(len(y))
@@ -271,18 +279,27 @@ def train_toxicity(rows: list[tuple[int, np.ndarray, dict[int, np.ndarray], int,
     return ToxicityModel(lexicon, trees, base, isotonic(held, y))
 
 
+def collect_features(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the sample's texts, a row of len(FEATURES) numbers each, in order of a hash of the id."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=1 << 19):
+            x = features(lexicon, *flat(b.column("text")))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+
+    got = sample.select("doc_id", "text", "label").mapInArrow(reduce, "doc_id long, label int, x binary").select("label", "x").orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").collect()
+    return np.stack([np.frombuffer(r["x"], np.float32) for r in got]) if got else np.zeros((0, len(FEATURES)), np.float32), np.array([r["label"] for r in got], float)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 2500, modulus: int = 4, held_out: int = 2) -> ToxicityModel:
-    """A model from at most `bound` labelled rows of each class, whole texts; held-out rows never enter."""
-    sample = labelled_sample(docs, labels, "toxic", modulus, held_out, bound)
-    got = sorted(sample.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).collect(), key=lambda r: (r["doc_id"], r["text"]))
-    rows = []
-    for r in got:
-        text = r["text"].encode()
-        data, offsets = flat(pa.array([text], pa.large_binary()))
-        h, stems, *_ = word_table(data, offsets)
-        rows.append((r["doc_id"], np.unique(h), {k: np.unique(v[1]) for k, v in stems.items()}, r["label"], text))
-    rng = np.random.default_rng(3)
-    return train_toxicity([rows[i] for i in rng.permutation(len(rows))])
+    """A model from at most `bound` labelled rows of each class, whole texts; held-out rows never enter.
+
+    Half of the rows, by a hash of the id, give the lexicon, the trees learn from the others. Texts are
+    reduced to counts and features where they lie; the driver gets words of the lexicon and features."""
+    sample = settle(labelled_sample(docs, labels, "toxic", modulus, held_out, bound))
+    half = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(2))
+    lexicon = learn_lexicon(sample.filter(half == 0))
+    return train_toxicity(lexicon, *collect_features(sample.filter(half == 1), lexicon))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
