@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilworks.llm.engine import parts_for, table, text_bytes
-from veilworks.llm.textbytes import flat, mix, span_hashes
+from veilworks.llm.engine import prefix_sums, table
+from veilworks.llm.textbytes import flat, mix, slices, span_hashes
 
 #: One random 32-bit value for each byte value, from a rule.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
-    """The gear hash h = (h << 1) + GEAR[byte] at each byte; 32 bits, so it depends on the last 32 bytes."""
+    """The gear hash h = (h << 1) + GEAR[byte] at each byte; 32 bits, so bit k depends on the last k + 1 bytes."""
     h = GEAR[data]
     span = 1
     while span < 32:
@@ -26,30 +28,56 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(data: np.ndarray, offsets: np.ndarray, least: int = 24, normal: int = 64, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Scale:
+    """Chunk lengths: `normal` is a power of two; a boundary looks at the hash's bits below `reach`, so at that many bytes."""
+
+    least: int
+    normal: int
+    most: int
+    reach: int
+
+    def masks(self) -> tuple[np.uint32, np.uint32]:
+        """Normalised: up to `normal` bytes a boundary needs two bits more than the mean asks for, beyond it two bits fewer."""
+        bits = self.normal.bit_length() - 1
+        top = lambda n: np.uint32(((1 << n) - 1) << (self.reach - n))
+        return top(bits + 2), top(bits - 2)
+
+
+#: A text's first bytes are cut finely, so that short texts have several chunks too.
+FINE, COARSE, FINE_BYTES = Scale(8, 16, 64, 16), Scale(24, 64, 256, 32), 128
+
+
+def _candidates(h: np.ndarray, mask: np.uint32) -> list[int]:
+    return [*np.flatnonzero((h & mask) == 0).tolist(), 1 << 62]
+
+
+def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunk ends of each text and n + 1 chunk offsets.
 
-    Normalised: up to `normal` bytes a boundary needs two bits more than the mean asks for, beyond it
-    two bits fewer, so lengths gather about `normal`. A text's chunks depend on its bytes alone.
-    """
-    bits = int(np.log2(normal))
-    hard, easy = np.uint32(((1 << bits + 2) - 1) << (30 - bits)), np.uint32(((1 << bits - 2) - 1) << (34 - bits))
+    A chunk that starts within the text's first FINE_BYTES bytes has the fine scale, others the coarse
+    one. A text's chunks depend on its bytes alone: no boundary looks at bytes before its first."""
     h = np.empty(len(data), np.uint32)
     for i in range(0, len(data), 1 << 20):  # in pieces that overlap by the hash's reach
         j = max(0, i - 31)
         h[i : i + (1 << 20)] = gear_hash(data[j : i + (1 << 20)])[i - j :]
-    easy_at = np.flatnonzero((h & easy) == 0)
-    hard_at = easy_at[(h[easy_at] & hard) == 0] if hard & easy == easy else np.flatnonzero((h & hard) == 0)
-    easy_at, hard_at = easy_at.tolist(), hard_at.tolist()
-    easy_at.append(1 << 62)
-    hard_at.append(1 << 62)
-    ends, counts, i, j = [], [0], 0, 0
+    heads = np.zeros(len(data), bool)  # the fine scale is only looked up where it can count
+    for k in range(min(FINE_BYTES + FINE.most, int(np.diff(offsets).max(initial=0)))):
+        at = offsets[:-1] + k
+        heads[at[at < offsets[1:]]] = True
+    fine = np.where(heads, h, np.uint32(0xFFFFFFFF)) if len(h) else h
+    tables = [(s, _candidates(x, s.masks()[0]), _candidates(x, s.masks()[1])) for s, x in ((FINE, fine), (COARSE, h))]
+    ends, counts = [], [0]
+    places = [[0, 0], [0, 0]]
     bounds = offsets.tolist()
-    for start, stop in zip(bounds, bounds[1:], strict=False):
-        # the hash must not reach before the text's first byte: no boundary within the first 32 bytes
-        reach = start + 31
+    for first, stop in zip(bounds, bounds[1:], strict=False):
+        start = first
         while start < stop:
-            low, mid, high = max(start + least - 1, reach), start + normal - 1, min(start + most - 1, stop - 1)
+            which = start - first >= FINE_BYTES
+            scale, hard_at, easy_at = tables[which]
+            i, j = places[which]
+            reach = first + scale.reach - 1
+            low, mid, high = max(start + scale.least - 1, reach), start + scale.normal - 1, min(start + scale.most - 1, stop - 1)
             while hard_at[i] < low:
                 i += 1
             if hard_at[i] < mid and hard_at[i] <= high:
@@ -59,6 +87,7 @@ def cut_points(data: np.ndarray, offsets: np.ndarray, least: int = 24, normal: i
                 while easy_at[j] < low:
                     j += 1
                 end = easy_at[j] if easy_at[j] <= high else high
+            places[which] = [i, j]
             start = end + 1
             ends.append(start)
         counts.append(len(ends))
@@ -66,13 +95,13 @@ def cut_points(data: np.ndarray, offsets: np.ndarray, least: int = 24, normal: i
 
 
 def chunk_sets(data: np.ndarray, offsets: np.ndarray) -> list[dict[int, int]]:
-    """For each text its distinct chunk digests and their total lengths in bytes."""
+    """For each text its distinct chunk digests of 64 bits and their total lengths in bytes."""
     ends, at = cut_points(data, offsets)
     starts = np.empty_like(ends)
     starts[1:] = ends[:-1]
     first = at[:-1][np.diff(at) > 0]
     starts[first] = offsets[:-1][np.diff(at) > 0]
-    digests = (span_hashes(data, starts, ends) >> np.uint64(24)).tolist() if len(ends) else []
+    digests = span_hashes(data, starts, ends).tolist() if len(ends) else []
     lengths = (ends - starts).tolist()
     out = []
     for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
@@ -102,7 +131,6 @@ def parse(fingerprint: str) -> dict[int, int]:
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, n_bytes) for each row, over whole texts; null counts as empty and gives ''."""
-    from veilworks.llm.textbytes import slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -112,75 +140,102 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string, n_bytes long")
 
 
-def segments(docs: DataFrame, segment_bytes: int) -> DataFrame:
-    """docs as (doc_id, text, segment, head), in segments of consecutive ids of about `segment_bytes`.
+def segment_bounds(keys: DataFrame, segment_bytes: int, most: int) -> list[tuple[int, int]]:
+    """The least (doc_id, key) of each segment of about equal bytes, from rows (doc_id, key, size).
 
-    The first row of a segment also comes, as head, to the segment before it (of the first: to the
-    last), so that each row finds its successor where it is. The bounds come from quantiles of the
-    ids; there is one for each segment.
-    """
-    spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = parts_for(text_bytes(docs), segment_bytes)
-    bounds = sorted({int(x) for x in (base.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"] or [])}) if n > 1 else []
-    placed = base.withColumn("segment", _bucket(bounds))
-    firsts = {r["segment"]: r["id"] for r in placed.groupBy("segment").agg(F.min("doc_id").alias("id")).collect()}  # one row a segment
-    order = sorted(firsts)
-    before = spark.createDataFrame([(firsts[k], order[i - 1]) for i, k in enumerate(order)] or [(0, 0)], "_first long, _before int")
-    return placed.join(F.broadcast(before), F.col("doc_id") == F.col("_first"), "left").select(
-        "doc_id", "text", F.explode(F.when(F.col("_before").isNull(), F.array(F.struct(F.col("segment").alias("segment"), F.lit(False).alias("head")))).otherwise(
-            F.array(F.struct(F.col("segment").alias("segment"), F.lit(False).alias("head")), F.struct(F.col("_before").alias("segment"), F.lit(True).alias("head"))))).alias("_at")
-    ).select("doc_id", "text", "_at.segment", "_at.head")
-
-
-def _bucket(bounds: list[int]) -> F.Column:
-    """How many bounds are at or below doc_id, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(0)
-    mid = len(bounds) // 2
-    return F.when(F.col("doc_id") < F.lit(bounds[mid]), _bucket(bounds[:mid])).otherwise(_bucket(bounds[mid + 1 :]) + F.lit(mid + 1))
-
-
-def compare_with_edits(docs: DataFrame, segment_bytes: int = 6 << 20) -> DataFrame:
+    Global prefix sums of the sizes give each row its segment; of each segment one row comes here, of
+    all at most `most`, as segments grow with the input."""
+    facts = keys.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    each = max(segment_bytes, -(-(facts["bytes"] or 0) // most))
+    if (facts["bytes"] or 0) <= each:
+        return []
+    placed = prefix_sums(keys, ["doc_id", "key"], {"before": F.col("size")}, facts["n"])
+    firsts = placed.groupBy(F.floor(F.col("before") / each).alias("segment")).agg(F.min(F.struct("doc_id", "key")).alias("least")).select("least.*").collect()
+    return sorted({(r["doc_id"], r["key"]) for r in firsts})
+
+
+def place(ids: np.ndarray, keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (id, key) its segment, the last whose bound is not above it, and whether it is that bound."""
+    if not len(bounds):
+        return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    left = np.searchsorted(bounds[:, 0], ids, side="left")
+    right = np.searchsorted(bounds[:, 0], ids, side="right")
+    segment = right - 1
+    for i in np.flatnonzero(right > left):  # ids at which a segment starts: their keys decide
+        segment[i] = left[i] + np.searchsorted(bounds[left[i] : right[i], 1], keys[i], side="right") - 1
+    segment = np.maximum(segment, 0)
+    return segment, (bounds[segment, 0] == ids) & (bounds[segment, 1] == keys)
+
+
+def compare_with_edits(docs: DataFrame, segment_bytes: int = 16 << 20, most_segments: int = 1 << 16) -> DataFrame:
     """(doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text replaces the last floor(n_chars / 4) code points by the first as many (or all) of
     the next document in id order; after the last comes the first. near_*: the share of the document's
     bytes in chunks that the other has too. A null text is empty; a lone document is its own next;
-    rows of equal id follow each other in order of their text; a null id comes first and stays null.
-    One shuffle of the texts by segment; a segment is bounded and worked on in pieces.
-    """
+    rows of equal id follow each other in order of a hash of their text; a null id comes first and
+    stays null. Extra columns are ignored; an empty table gives an empty result.
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("head").to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
-        own = [r for r in rows if not r[2]]
-        heads = [r for r in rows if r[2]]
-        # the head of the segment after this one; texts of one id are in order, so the first comes first
-        texts = [r[1] for r in own]
-        following = [*texts[1:], heads[0][1]] if heads else [*texts[1:], texts[0]]
-        edited, chars = [], []
-        for text, after in zip(texts, following, strict=True):
-            n = len(text)
-            chars.append(n)
-            edited.append(text[: n - n // 4] + after[: n // 4])
-        sets, edited_sets = _sets(texts), _sets(edited)
-        next_sets = [*sets[1:], (_sets([heads[0][1]])[0] if heads else sets[0])]
-        return pa.table(
-            {
-                "doc_id": pa.array([r[0] for r in own], pa.int64()),
-                "n_chars": pa.array(chars, pa.int64()),
-                "edited_text": pa.array(edited, pa.string()),
-                "fingerprint": pa.array([write(s) for s in sets], pa.string()),
-                "edited_fingerprint": pa.array([write(s) for s in edited_sets], pa.string()),
-                "near_edited": pa.array([containment(a, b) for a, b in zip(sets, edited_sets, strict=True)], pa.float64()),
-                "near_next": pa.array([containment(a, b) for a, b in zip(sets, next_sets, strict=True)], pa.float64()),
-            }
-        )
-
-    out = segments(docs, segment_bytes).groupBy("segment").applyInArrow(run, "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    One shuffle of the texts, into segments of consecutive ids of about equal bytes. The first row of a
+    segment also goes, as head, to the one before it (of the first: to the last), so that each row finds
+    its successor where it is. A segment is read in order and only two of its rows are held at a time,
+    so its size bounds no memory: beyond `most_segments` segments of `segment_bytes` they grow instead.
+    """
+    spark = docs.sparkSession
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    bounds = segment_bounds(base.select("doc_id", "key", F.octet_length("text").alias("size")), segment_bytes, most_segments)
+    shared = spark.sparkContext.broadcast(np.array(bounds, np.int64).reshape(-1, 2))
+    n = max(1, len(bounds))
+
+    def spots(ids: pd.Series, keys: pd.Series) -> pd.Series:
+        segment, is_bound = place(ids.to_numpy(), keys.to_numpy(), shared.value)
+        if not len(shared.value):  # one segment: its first row follows its last, so every row may be the head
+            return pd.Series([[0]] * len(ids))
+        return pd.Series([[s, (s - 1) % n] if b else [s] for s, b in zip(segment.tolist(), is_bound.tolist(), strict=True)])
+
+    at = F.posexplode(F.pandas_udf(spots, "array<long>")("doc_id", "key")).alias("head", "segment")
+    dealt = base.select("doc_id", "key", "text", at).repartition(n, "segment").sortWithinPartitions("segment", "head", "doc_id", "key")
+    out = dealt.select("segment", "head", "doc_id", "text").mapInArrow(_follow, "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
 
 
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (segment, head, doc_id, text) in order -> each document with its edited text and both fingerprints.
+
+    The first head after a segment's own rows follows its last; without one, as of a lone segment, the segment's first does."""
+    last = None  # (segment, doc_id, text, chunks) of the document whose successor is still to come
+    first = None  # (text, chunks) of the segment's first document
+
+    def rows(pairs: list[tuple]) -> pa.RecordBatch:
+        texts, after = [p[1] for p in pairs], [p[3] for p in pairs]
+        edited = [t[: len(t) - len(t) // 4] + a[: len(t) // 4] for t, a in zip(texts, after, strict=True)]
+        edited_sets = _sets(edited)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([p[0] for p in pairs], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(edited, pa.string()),
+                pa.array([write(p[2]) for p in pairs], pa.string()), pa.array([write(s) for s in edited_sets], pa.string()),
+                pa.array([containment(p[2], s) for p, s in zip(pairs, edited_sets, strict=True)], pa.float64()), pa.array([containment(p[2], p[4]) for p in pairs], pa.float64()),
+            ],
+            ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        )
+
+    for b in slices(batches, limit=1 << 20):
+        segment, head, ids, texts = (b.column(c).to_pylist() for c in ("segment", "head", "doc_id", "text"))
+        pairs = []
+        for s, h, i, text, chunks in zip(segment, head, ids, texts, _sets(texts), strict=True):
+            if last and last[0] == s:
+                pairs.append((*last[1:], text, chunks))
+                last = None if h else (s, i, text, chunks)
+            elif not h:
+                if last:
+                    pairs.append((*last[1:], *first))
+                last, first = (s, i, text, chunks), (text, chunks)
+        if pairs:
+            yield rows(pairs)
+    if last:
+        yield rows([(*last[1:], *first)])
+
+
 def _sets(texts: list[str], limit: int = 1 << 20) -> list[dict[int, int]]:
     out, part, size = [], [], 0
     for t in texts:
