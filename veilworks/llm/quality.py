@@ -33,7 +33,7 @@ class FtrlModel:
 def ngrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of each text, text after text, and n + 1 offsets.
 
-    Words are runs of letters and runs of punctuation, case kept. N-grams are words, word pairs, and
+    Words are runs of letters and runs of punctuation, A-Z lower-cased. N-grams are words, word pairs, and
     pairs and triples that return to their first word; the latter share one bucket whatever the word,
     as do words by being all capitals.
     """
@@ -136,6 +136,17 @@ def score_quality(docs: DataFrame, model: FtrlModel, threshold: float = 0.5) ->
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: FtrlModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least `threshold`; scored and decided where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=1 << 19):
+            yield b.filter(pa.array(score_texts(shared.value, *flat(b.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
