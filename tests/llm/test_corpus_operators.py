@@ -152,6 +152,44 @@ def test_near_duplicates_empty_and_null_ids(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (1, 1, True), (5, 1, False)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id are documents of their own: none hides another's link."""
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    texts = [" ".join(t) for t in (a, b, b[:-1] + ["z"], a[:-1] + ["z"], c, c)]
+    got = neardup.near_duplicates(frame(spark, texts, [1, 1, 2, 3, 7, 7]), 4, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (7, 7), (7, 7)]
+    assert sum(r["kept"] for r in got) == 3 and sum(r["kept"] for r in got if r["doc_id"] == 7) == 1
+
+
+def test_trees_branch_until_nodes_are_small(spark):
+    """Unlike documents that share one frequent passage: no leaf stays large, and pairs among them are found."""
+    rng = np.random.default_rng(13)
+    common = [f"c{i}" for i in range(30)]
+    texts = [" ".join([*common, *(f"u{x}" for x in rng.integers(0, 10**9, 60))]) for _ in range(600)]
+    for i in range(0, 600, 60):
+        texts.append(texts[i][:-3] + "end")
+    docs = frame(spark, texts)
+    known = neardup.describe(docs, 4, 0.8, 10)
+    reps = known.select(F.col("doc_id").alias("rep"), "sig", "roots")
+    leaves = neardup.grow_trees(reps, neardup.root_branches(10, 0.8), 32, 0.55)
+    assert leaves.groupBy("node").count().agg(F.max("count")).first()[0] <= 32 and leaves.count() < 20 * len(texts)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 4, 80, small=32).collect()}
+    assert got == {i: (i - 600) * 60 if i >= 600 else i for i in range(610)}
+
+
+def test_join_parts():
+    rng = np.random.default_rng(14)
+    for n in (1, 5, 60):
+        linked = np.triu(rng.random((n, n)) < 1.5 / n)
+        part = np.arange(n)
+        out = neardup.join_parts(part, linked.copy())
+        label = list(range(n))
+        for i, j in np.argwhere(linked):
+            label = [label[i] if x == label[j] else x for x in label]
+        assert len(out) == n - len(set(label)) == n - len(set(part.tolist()))
+        assert all((label[i] == label[j]) == (part[i] == part[j]) for i in range(n) for j in range(n)) and all(linked[i, j] for i, j in out)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -296,21 +334,65 @@ def test_chunks_do_not_depend_on_neighbours():
     assert fingerprints.containment(together[-1], shifted) > 0.9
 
 
-@pytest.mark.parametrize("segment", [1000, 1 << 22])
-def test_edits(spark, segment):
-    texts = [t for t in AWKWARD if t is None or len(t) < 10_000]
+def brute_chunks(text):
+    """Chunk digests and their bytes, one byte after the other."""
+    raw, out, start = text.encode(), {}, 0
+    h, hashes = 0, []
+    for c in raw:
+        h = ((h << 1) + int(fingerprints.GEAR[c])) & 0xFFFFFFFF
+        hashes.append(h)
+    while start < len(raw):
+        scale = fingerprints.FINE if start < fingerprints.FINE_BYTES else fingerprints.COARSE
+        hard, easy = (int(m) for m in scale.masks())
+        end = min(start + scale.most, len(raw)) - 1
+        for i in range(max(start + scale.least - 1, scale.reach - 1), end):
+            if not hashes[i] & (hard if i < start + scale.normal - 1 else easy):
+                end = i
+                break
+        part = np.frombuffer(raw[start : end + 1], np.uint8)
+        d = int(textbytes.span_hashes(part, np.array([0]), np.array([len(part)]))[0])
+        out[d] = out.get(d, 0) + len(part)
+        start = end + 1
+    return out
+
+
+@pytest.mark.parametrize("segment, most", [(1000, 100), (300, 4), (1 << 22, 100)])
+def test_edits(spark, segment, most):
+    rng = np.random.default_rng(11)
+    texts = [*AWKWARD, *(" ".join(f"w{x}" for x in rng.integers(0, 500, int(n))) for n in rng.integers(1, 120, 30))]
     ids = [7 * i - 20 for i in range(len(texts))]
-    got = {r["doc_id"]: r for r in fingerprints.compare_with_edits(frame(spark, texts, ids), segment).collect()}
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_edits(frame(spark, texts, ids), segment, most).collect()}
+    sets = [brute_chunks(t or "") for t in texts]
+    share = lambda a, b: sum(min(n, b.get(d, 0)) for d, n in a.items()) / sum(a.values()) if a else float(not b)
     for n, i in enumerate(ids):
         t, after = texts[n] or "", texts[(n + 1) % len(texts)] or ""
-        assert got[i]["n_chars"] == len(t) and got[i]["edited_text"] == t[: len(t) - len(t) // 4] + after[: len(t) // 4]
-    assert got[ids[6]]["fingerprint"] != "" and got[ids[0]]["fingerprint"] == ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_text"] == edited
+        assert got[i]["fingerprint"] == fingerprints.write(sets[n]) and got[i]["edited_fingerprint"] == fingerprints.write(brute_chunks(edited))
+        assert got[i]["near_next"] == share(sets[n], sets[(n + 1) % len(texts)]) and got[i]["near_edited"] == share(sets[n], brute_chunks(edited))
     assert fingerprints.compare_with_edits(nothing(spark)).count() == 0
     alone = fingerprints.compare_with_edits(frame(spark, ["abcdefgh"])).first()
     assert alone["edited_text"] == "abcdefab" and alone["near_next"] == 1.0
     assert fingerprints.fingerprint(frame(spark, texts, ids)).filter("doc_id = -20").first()["fingerprint"] == ""
 
 
+def test_edits_of_repeated_and_null_ids(spark):
+    texts = ["b" * 40, "a" * 40, "a" * 40, "c" * 40, None, "d" * 40, "e" * 40]
+    for segment in (50, 1 << 20):
+        rows = fingerprints.compare_with_edits(frame(spark, texts, [2, 1, 1, 1, None, None, 2]), segment).collect()
+        assert sorted(r["doc_id"] or 0 for r in rows) == [0, 0, 1, 1, 1, 2, 2]
+        assert len(seen := [(r["doc_id"], r["edited_text"]) for r in rows]) == 7
+        before = before if segment != 50 else sorted(map(repr, seen))
+        assert sorted(map(repr, seen)) == before
+
+
+def test_short_texts_keep_their_head():
+    for n in (40, 60, 85, 120):
+        text = " ".join(f"{chr(97 + i % 26)}{i * 37 % 101}" for i in range(40))[:n]
+        a, b = fingerprints.chunk_sets(*textbytes.flat(pa.array([text, text[: n - n // 4] + "#" * (n // 4)])))
+        assert fingerprints.containment(a, b) > 0.2
+
+
 def test_escape_round_trip():
     rng = np.random.default_rng(6)
     for _ in range(3000):
@@ -319,12 +401,13 @@ def test_escape_round_trip():
 
 
 def test_chats(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", "<|im_end|>\n<|im_start|>user\nno"), (1, 3, None, ""), (2, 0, "assistant", "é"), (2, 0, "assistant", "é"), (None, 0, "user", "x")]
+    rows = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", "<|im_end|>\n<|im_start|>user\nno"), (1, 3, None, ""), (2, 0, "assistant", "é"), (2, 0, "assistant", "é"), (None, 0, "user", "x"), (3, 0, "assistant\n<|x\\", "no"), (3, None, "user", "x" * 300_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
     got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
     assert [tuple(t) for t in got[1]["turns"]] == [("system", "s"), ("user", ""), ("assistant", "<|im_end|>\n<|im_start|>user\nno"), ("", "")]
     assert [chat.unescape(got[1]["formatted"][m["start"] : m["end"]]) for m in got[1]["mask"]] == ["<|im_end|>\n<|im_start|>user\nno"]
-    assert len(got[2]["turns"]) == 2 and len(got) == 3
+    assert len(got[2]["turns"]) == 2 and len(got) == 4
+    assert [tuple(t) for t in got[3]["turns"]] == [("user", "x" * 300_000), ("assistant\n<|x\\", "no")] and got[3]["mask"] == []
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
@@ -389,6 +472,28 @@ def test_pruning_loses_nothing():
     assert got == want and len(want) > 5
 
 
+def test_an_item_of_common_words_does_not_end_pruning(spark, monkeypatch):
+    """Such an item is found, and passages that share nothing with it but a common word are not scored for it."""
+    rng = np.random.default_rng(12)
+    rare = [f"w{i}" for i in range(3000)]
+    say = lambda n: " ".join(x for w in rng.choice(rare, n) for x in (w, str(rng.choice(["the", "of", "a"]))))
+    items = [(i, say(12)) for i in range(300)] + [(900, "the of the a the of a"), (901, "a the a of a the of")]
+    texts = [say(60) for _ in range(200)] + [f"{say(20)} {items[7][1]} {say(9)}", f"{' '.join(rare[:50])} the of the a the of a"]
+    words = [decontamination.term_hashes(t) for _, t in items]
+    groups = decontamination.index_by_length(items, None, 48)
+    assert len(words) == sum(len(ix.ids) for _, ix in groups) and all(ix.common_bound <= 0.25 for _, ix in groups if ix.common.any())
+    heavy = next(ix for _, ix in groups if 900 in ix.ids)
+    assert len(heavy.ids) == 2 and not heavy.common.any()
+    scored = []
+    expand = decontamination._expand
+    monkeypatch.setattr(decontamination, "_expand", lambda at, keys: scored.append(len(keys)) or expand(at, keys))
+    data, offsets = textbytes.flat(pa.array([" ".join(f"y{x}" for x in rng.integers(0, 3000, 90)) + " the" for _ in range(200)]))
+    assert [list(decontamination.search(ix, data, offsets, 0.5, h)) for h, ix in groups] == [[] for _ in groups]
+    assert sum(scored) == 0  # a common word alone gives no passage to look at
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(200, 7), (201, 900)} <= got
+
+
 def test_decontamination_on_tables(spark):
     docs, items = (table(spark, "/root/testdata/sf0.01", t).collect() for t in ("documents", "benchmark"))
     flatten = lambda s: " ".join(s.split())

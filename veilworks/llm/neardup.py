@@ -2,17 +2,19 @@
 
 Documents are sets of word shingles. Equal sets are one class from the start; what follows works on
 one representative of each. A tree branches the representatives by tokens of their minwise
-signature: in each node a few signature positions are chosen by the node's path, about 1 / threshold
-of them, and a representative goes on to the child named by its value there. Nodes that have become
-small are compared exhaustively on signatures; independent trees repeat this. A pair at the threshold
-0.8 is missed with a probability of about 1e-5: by all trees, where its nodes stay large, about 6e-6,
-and by signatures that agree in fewer than 36 of 64 positions, at any size, 4e-6. Every link is
-confirmed on the full sets of both texts.
-
-What a group of near copies costs stays in proportion to its size: a node gives a star over those
-that are surely alike and a spanning forest of the rest. A second round compares, within each node,
-all that confirmed links have not joined, so a failed confirmation hides no link: such documents are
-dealt into blocks, and each pair of blocks counts its intersections at once, on full sets.
+signature: at the root a few signature positions are chosen, 1 / threshold of them on average, below
+it two in each node, by the node's path; a representative goes on to the child named by its value
+there. Branching goes on until a node is small, or until half of its members are near copies of one of
+them, by their signatures. Small nodes are compared exhaustively on signatures; independent trees
+repeat this. A pair at the threshold 0.8 is missed by the trees with a probability of about 1e-7
+(a branch of the root keeps it with 0.75, there are 12 or more), and by signatures that agree in fewer
+than 36 of 64 positions with 4e-6, at any size. Every link is confirmed on the full sets of both texts.
+
+What a group of near copies costs stays in proportion to its size: a node gives a spanning forest of
+its strongest candidates. A second round compares, within each node, all that confirmed links have not
+joined, so a failed confirmation hides no link. A node of n near copies is dealt into blocks of about
+16 * sqrt(n) members; its members outside the largest component meet all blocks. What that round ties
+together is confirmed in blocks, each pair of which counts its intersections at once, on full sets.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilworks.llm.components import components
-from veilworks.llm.engine import settle, table
+from veilworks.llm.engine import numbered, settle, table
 from veilworks.llm.textbytes import LOWER, flat, mix, rolling, slices, span_hashes, spans
 
 POSITIONS = 64
@@ -67,11 +69,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def chosen(path: int, threshold: float) -> list[int]:
-    """The signature positions by which the node of this path branches: 1 / threshold of them on average."""
+def chosen(path: int, mean: float, used: int = 0) -> list[int]:
+    """The signature positions by which the node of this path branches: `mean` of them on average, none of those used above it."""
     x = int(mix(np.array([path & ((1 << 64) - 1)], np.uint64))[0])
-    n = int(1 / threshold) + (((x >> 40) / (1 << 24)) < 1 / threshold - int(1 / threshold))
-    return [((x & 0xFFFF) + i * 37) % POSITIONS for i in range(n)]
+    n = int(mean) + (((x >> 40) / (1 << 24)) < mean - int(mean))
+    return [p for i in range(POSITIONS) if not used >> (p := ((x & 0xFFFF) + i * 37) % POSITIONS) & 1][:n]
+
+
+def root_branches(trees: int, threshold: float) -> list[tuple[int, int]]:
+    """(path, position) of each branch of each tree's root."""
+    return [(int(mix(np.array([t + 1], np.uint64))[0]), p) for t in range(trees) for p in chosen(t * 7919 + 13, 1 / threshold)]
 
 
 def _step(path: np.ndarray | int, position: int, value: np.ndarray) -> np.ndarray:
@@ -81,7 +88,7 @@ def _step(path: np.ndarray | int, position: int, value: np.ndarray) -> np.ndarra
 
 def describe(docs: DataFrame, k: int, threshold: float, trees: int) -> DataFrame:
     """(doc_id, n_shingles, digest of the set, sig, roots: the first-level node of each tree and branch)."""
-    roots = [(int(mix(np.array([t + 1], np.uint64))[0]), p) for t in range(trees) for p in chosen(t * 7919 + 13, threshold)]
+    roots = root_branches(trees, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -102,80 +109,88 @@ def describe(docs: DataFrame, k: int, threshold: float, trees: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary, roots array<long>")
 
 
-def branch(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, rep, sig) one level on: each row goes to the children that its node's path chooses."""
+def branch(nodes: DataFrame) -> DataFrame:
+    """(node, rep, sig, used) one level on: each row goes to the children that its node's path chooses.
+
+    used: the positions by which the path has branched, as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            node = b.column("node").to_numpy(zero_copy_only=False)
+            node, used = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("node", "used"))
             sig = np.stack([np.frombuffer(x, np.uint16) for x in b.column("sig").to_pylist()])
-            paths, inverse = np.unique(node, return_inverse=True)
-            picks = [chosen(int(p) & ((1 << 64) - 1), threshold) for p in paths.tolist()]
-            for r in range(max(len(p) for p in picks)):
-                position = np.array([p[r] if r < len(p) else -1 for p in picks])[inverse]
-                rows = np.flatnonzero(position >= 0)
-                base = (position[rows] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                value = sig[rows, position[rows]]
-                child = mix((node[rows].view(np.uint64) ^ base) + mix(value.astype(np.uint64) + np.uint64(1))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(child), b.column("rep").take(pa.array(rows)), b.column("sig").take(pa.array(rows))], ["node", "rep", "sig"])
-
-    return nodes.select("node", "rep", "sig").mapInArrow(run, "node long, rep long, sig binary")
-
-
-def node_pairs(rep: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, low: float, sure: float, strip: int = 512) -> list[tuple[int, int]]:
-    """Candidate pairs of one node. First round (comp None): a star over each part that `sure` agreement
-    joins, and the strongest links of a spanning forest over the parts. Second round: a spanning forest
-    of the pairs of agreement `low` or more whose components differ."""
-    n = len(rep)
+            paths, first, inverse = np.unique(node, return_index=True, return_inverse=True)
+            picks = np.array([chosen(int(p), 2, int(u)) for p, u in zip(paths, used[first], strict=True)])
+            for r in range(picks.shape[1]):
+                position = picks[inverse, r]
+                base = (position + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                value = sig[np.arange(len(node)), position]
+                child = mix((node ^ base) + mix(value.astype(np.uint64) + np.uint64(1)))
+                now = used | (np.uint64(1) << position.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("rep"), b.column("sig"), pa.array(now.view(np.int64))], ["node", "rep", "sig", "used"])
+
+    return nodes.select("node", "rep", "sig", "used").mapInArrow(run, "node long, rep long, sig binary, used long")
+
+
+def crowded(nodes: DataFrame, low: float, share: float) -> DataFrame:
+    """(node) of those of which a `share` of the members or more agrees with one of them, drawn by a hash, in a share `low` of the positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                one, other = (np.stack([np.frombuffer(x, np.uint16) for x in b.column(c).to_pylist()]) for c in ("sig", "pivot"))
+                near = (one == other).mean(1) >= low
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(near.astype(np.int64))], ["node", "near"])
+
+    pivots = nodes.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "sig")).alias("p")).select("node", F.col("p.sig").alias("pivot"))
+    judged = nodes.join(pivots, "node").select("node", "sig", "pivot").mapInArrow(run, "node long, near long")
+    return judged.groupBy("node").agg(F.avg("near").alias("near")).filter(F.col("near") >= share).select("node")
+
+
+def join_parts(part: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) out of a matrix that join the parts of rows and columns, none twice; part is updated.
+
+    Each turn every row takes its first link to another part, so the parts at least halve."""
     out: list[tuple[int, int]] = []
-    parent = list(range(n))
+    while True:
+        open_ = linked & (part[:, None] != part[None, :])
+        rows = np.flatnonzero(open_.any(1))
+        if not len(rows):
+            return out
+        head: dict[int, int] = {}
+
+        def root(p: int, head: dict[int, int] = head) -> int:
+            while p in head:
+                p = head[p]
+            return p
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+        for i, j in zip(rows.tolist(), open_[rows].argmax(1).tolist(), strict=True):
+            p, q = root(int(part[i])), root(int(part[j]))
+            if p != q:
+                head[max(p, q)] = min(p, q)
+                out.append((i, j))
+        names, inverse = np.unique(part, return_inverse=True)
+        part[:] = np.array([root(int(p)) for p in names])[inverse]
 
-    order = np.argsort(rep)
+
+def node_pairs(rep: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, low: float) -> list[tuple[int, int]]:
+    """Candidate pairs of one node: a spanning forest of the pairs that agree in a share `low` of the positions or more,
+    strongest first. Second round (comp given): of the pairs whose components differ."""
+    order = np.argsort(rep, kind="stable")
     rep, sig = rep[order], sig[order]
-    comp = comp[order] if comp is not None else None
-    weak: list[tuple[int, int, int]] = []
-    for a in range(0, n, strip):
-        for b in range(0, a + 1, strip):
-            agree = np.zeros((len(rep[a : a + strip]), len(rep[b : b + strip])), np.uint8)
-            for p in range(POSITIONS):
-                agree += sig[a : a + strip, p, None] == sig[None, b : b + strip, p]
-            i, j = np.nonzero(agree >= low * POSITIONS)
-            keep = (i + a > j + b) & (rep[i + a] != rep[j + b])
-            i, j = i[keep], j[keep]
-            if comp is not None:
-                differ = comp[i + a] != comp[j + b]
-                for x, y in zip((i[differ] + a).tolist(), (j[differ] + b).tolist(), strict=True):
-                    rx, ry = root(x), root(y)
-                    parent[max(rx, ry)] = min(rx, ry)
-                continue
-            value = agree[i, j]
-            strong = value >= sure * POSITIONS
-            # rows come sorted by i, so the first strong partner of each is its smallest
-            for x, y in zip((i[strong] + a).tolist(), (j[strong] + b).tolist(), strict=True):
-                rx, ry = root(x), root(y)
-                if rx != ry:
-                    parent[max(rx, ry)] = min(rx, ry)
-            weak += list(zip(value[~strong].tolist(), (i[~strong] + a).tolist(), (j[~strong] + b).tolist(), strict=True))
-    out += [(int(rep[root(i)]), int(rep[i])) for i in range(n) if root(i) != i]
-    if comp is not None:
-        return out
-    for _, x, y in sorted(weak, key=lambda w: (-w[0], w[1], w[2])):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((int(rep[y]), int(rep[x])))
-    return out
+    _, part = np.unique(rep if comp is None else comp[order], return_inverse=True)
+    agree = np.zeros((len(rep), len(rep)), np.uint8)
+    for p in range(POSITIONS):
+        agree += sig[:, p, None] == sig[None, :, p]
+    least = int(np.ceil(low * POSITIONS))
+    out: list[tuple[int, int]] = []
+    for level in [*range(POSITIONS - 1, least, -4), least] if comp is None else [least]:
+        out += join_parts(part, agree >= level)
+    return [(int(rep[min(i, j)]), int(rep[max(i, j)])) for i, j in out]
 
 
-def compare_nodes(nodes: DataFrame, low: float, sure: float, second: bool) -> DataFrame:
+def compare_nodes(nodes: DataFrame, low: float, second: bool) -> DataFrame:
     """(a, b) candidates from rows (node, rep, sig[, comp]); nodes are bounded, and read as runs of sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +206,7 @@ def compare_nodes(nodes: DataFrame, low: float, sure: float, second: bool) -> Da
             got: set[tuple[int, int]] = set()
             for a, b in zip(cut, cut[1:], strict=False):
                 if b - a > 1:
-                    got.update(node_pairs(rep[a:b], sig[a:b], comp[a:b] if second else None, low, sure))
+                    got.update(node_pairs(rep[a:b], sig[a:b], comp[a:b] if second else None, low))
             pairs = sorted(got)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
@@ -225,8 +240,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int
 
     def run(t: pa.Table) -> pa.Table:
         a = t.column("a")[0].as_py()
-        ids, first = np.unique(t.column("doc_id").to_numpy(), return_index=True)
-        sets = dict(zip(ids.tolist(), shingle_sets(*flat(t.column("text").take(pa.array(first))), k), strict=True))
+        sets = dict(zip(t.column("doc_id").to_pylist(), shingle_sets(*flat(t.column("text")), k), strict=True))
         mine = sets.pop(a)
         good = []
         for b, s in sets.items():
@@ -238,23 +252,28 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int
     return texts.groupBy("a", "block").applyInArrow(run, "a long, b long")
 
 
-def confirm_rest(alike: DataFrame, joined: DataFrame, docs: DataFrame, k: int, percent: int, block: int = 192) -> DataFrame:
+def confirm_rest(alike: DataFrame, joined: DataFrame, known: DataFrame, docs: DataFrame, k: int, percent: int, most: int = 2048, most_shingles: int = 1 << 19) -> DataFrame:
     """Links (a, b) among documents that `alike` (a, b) ties into groups and `joined` leaves in several components.
 
     In a group the members of all but one component are the strays. Every block of strays meets every
-    block of the group; a pair of blocks gives the links that join components, at most one a member.
+    block of the group; a pair of blocks gives links that join components, fewer than its members. A block
+    has up to `most` members with `most_shingles` shingles together, on average, so a text is shipped once
+    for each block of strays; near copies of one passage are one block up to some megabytes of text.
     """
     groups = components(alike).withColumnRenamed("component", "group")
-    members = groups.join(joined, "node", "left").select("group", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
-    sizes = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n"))
-    per = sizes.groupBy("group").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("main")).select(
-        "group", F.col("main.comp").alias("main"), F.ceil(F.col("all") / block).cast("long").alias("n_all"), F.ceil((F.col("all") - F.col("main.n")) / block).cast("long").alias("n_stray")
+    sized = known.select(F.col("doc_id").alias("node"), "n_shingles")
+    members = groups.join(joined, "node", "left").join(sized, "node").select("group", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"), "n_shingles")
+    sizes = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    main = F.max(F.struct("n", "w", "comp")).alias("main")
+    blocks = lambda n, w: F.greatest(F.ceil(n / most), F.ceil(w / most_shingles)).cast("long")
+    per = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), main).select(
+        "group", F.col("main.comp").alias("main"), blocks(F.col("n"), F.col("w")).alias("n_all"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("n_stray")
     )
-    known = settle(members.join(per, "group").withColumn("h", F.xxhash64("rep")))
+    dealt = settle(members.join(per, "group").withColumn("h", F.xxhash64("rep")))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    strays = known.filter("comp <> main").select("group", "rep", "comp", F.pmod("h", "n_stray").alias("s"), upto("n_all").alias("r"), F.lit(True).alias("stray"))
-    rest = known.select("group", "rep", "comp", upto("n_stray").alias("s"), F.pmod("h", "n_all").alias("r"), F.lit(False).alias("stray"))
-    texts = strays.unionByName(rest).join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")), "rep")
+    strays = dealt.filter("comp <> main").select("group", "rep", "comp", F.pmod("h", "n_stray").alias("s"), upto("n_all").alias("r"), F.lit(True).alias("stray"))
+    rest = dealt.filter("n_stray > 0").select("group", "rep", "comp", upto("n_stray").alias("s"), F.pmod("h", "n_all").alias("r"), F.lit(False).alias("stray"))
+    texts = strays.unionByName(rest).join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
 
     def run(t: pa.Table) -> pa.Table:
         rep, comp, stray = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "stray"))
@@ -271,7 +290,7 @@ def confirm_rest(alike: DataFrame, joined: DataFrame, docs: DataFrame, k: int, p
             _, code = np.unique(code, return_inverse=True)
             order = np.argsort(code, kind="stable")
             code, owner = code[order], owner[order]
-            width = 1 << 14
+            width = max(64, (1 << 23) // len(sets))
             for low in range(0, int(code[-1]) + 1 if len(code) else 0, width):
                 a, b = np.searchsorted(code, [low, low + width])
                 left, right = np.zeros((len(x), width), np.float32), np.zeros((len(y), width), np.float32)
@@ -279,81 +298,98 @@ def confirm_rest(alike: DataFrame, joined: DataFrame, docs: DataFrame, k: int, p
                 left[place[o[stray[o]]], c[stray[o]]] = 1
                 right[place[o[~stray[o]]], c[~stray[o]]] = 1
                 both += left @ right.T
-        i, j = np.nonzero(100 * both.astype(np.int64) >= percent * (size[x][:, None] + size[y][None, :] - both.astype(np.int64)))
-        head: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while c in head:
-                c = head[c]
-            return c
-
-        out = []
-        for p, q in zip(x[i].tolist(), y[j].tolist(), strict=True):
-            rp, rq = root(int(comp[p])), root(int(comp[q]))
-            if rp != rq:
-                head[max(rp, rq)] = min(rp, rq)
-                out.append((int(rep[p]), int(rep[q])))
-        return pa.table({"a": pa.array([min(o) for o in out], pa.int64()), "b": pa.array([max(o) for o in out], pa.int64())})
+        linked = np.zeros((len(rep), len(rep)), bool)
+        linked[np.ix_(x, y)] = both * (100 + percent) >= percent * (size[x][:, None] + size[y][None, :])
+        _, part = np.unique(comp, return_inverse=True)
+        out = join_parts(part, linked)
+        return pa.table({"a": pa.array([min(int(rep[i]), int(rep[j])) for i, j in out], pa.int64()), "b": pa.array([max(int(rep[i]), int(rep[j])) for i, j in out], pa.int64())})
 
     return texts.groupBy("group", "s", "r").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, depth: int = 3, small: int = 256, slack: float = 0.25) -> DataFrame:
+def grow_trees(reps: DataFrame, roots: list[tuple[int, int]], small: int, low: float, share: float = 0.5) -> DataFrame:
+    """(node, rep, sig, n) of the leaves of all trees that hold several representatives.
+
+    A node of more than `small` members branches on, unless at least a `share` of them are near copies (see
+    crowded()). What branches shrinks, by a fixed rate on average, so the depth follows from the largest node's size."""
+    bits = F.array(*[F.lit(int(np.array([1 << p], np.uint64).view(np.int64)[0])) for _, p in roots])
+    level = reps.select(F.posexplode("roots").alias("_i", "node"), "rep").select("node", "rep", F.element_at(bits, F.col("_i") + 1).alias("used"))
+    leaves = None
+    while True:
+        crowd = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rows = level.join(crowd, "node")
+        rows = settle((rows.join(reps.select("rep", "sig"), "rep") if leaves is None else rows).select("node", "rep", "sig", "n", "used"))
+        ready = rows.filter(F.col("n") <= small)
+        big = rows.filter(F.col("n") > small)
+        if big.isEmpty():
+            ready = ready.select("node", "rep", "sig", "n")
+            return ready if leaves is None else leaves.unionByName(ready)
+        big = settle(big.join(crowded(big, low, share).withColumn("_dense", F.lit(True)), "node", "left"))
+        done = F.col("_dense").isNotNull() | (F.bit_count("used") > POSITIONS - 2)
+        ready = ready.select("node", "rep", "sig", "n").unionByName(big.filter(done).select("node", "rep", "sig", "n"))
+        leaves = ready if leaves is None else leaves.unionByName(ready)
+        level = branch(big.filter(~done))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, small: int = 256, slack: float = 0.25) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles
     (A-Z lower-cased; words are runs of bytes other than 0x20 and 0x09 to 0x0D; a text of fewer than
     k words is one shingle; one without words is linked with nothing). component_id is the smallest
     doc_id that links lead to, kept says whether that is the document itself. Equal rows are linked;
-    ids are expected to be unique: rows that repeat an id with equal text come out equal. A null id is
-    linked with nothing and kept. Extra columns are ignored; an empty table gives an empty result.
+    rows that repeat an id are documents of their own, with equal texts or not, and of a group's rows
+    with the smallest id the first alone is kept, in order of a hash of the text. A null id is linked
+    with nothing and kept. Extra columns are ignored; an empty table gives an empty result.
     """
     threshold = percent / 100
-    named = docs.filter("doc_id IS NOT NULL")
+    named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = numbered(named)
+    if rows is not None:  # repeated ids: each row goes by its number, which rises with the id
+        named = rows.select(F.col("_row").alias("doc_id"), "text")
     known = settle(describe(named, k, threshold, trees))
     sets = known.filter("n_shingles > 0")
     # one representative of each distinct set; partial aggregation takes copies together before the shuffle
     reps = settle(sets.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "roots")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig"), F.col("r.roots").alias("roots")))
-    level = reps.select(F.explode("roots").alias("node"), "rep")
-    sigs = reps.select("rep", "sig")
-    leaves = None
-    for d in range(1, depth + 1):
-        crowd = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = level.join(crowd, "node")
-        if d == 1:
-            rows = rows.join(sigs, "rep")
-        rows = settle(rows.select("node", "rep", "sig", "n"))
-        done = rows.filter(F.col("n") <= small) if d < depth else rows
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if d < depth:
-            level = branch(rows.filter(F.col("n") > small), threshold)
-    # what is still large is cut into blocks, each with the node's four pivots
+    low = threshold - slack
+    leaves = grow_trees(reps, root_branches(trees, threshold), small, low)
+    # nodes of near copies are cut into blocks, each with the node's four pivots
     big = leaves.filter(F.col("n") > small)
-    pivots = big.groupBy("node").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "sig")).alias(f"p{i}") for i in range(3)], F.min(F.struct(F.col("rep").alias("h"), "rep", "sig")).alias("p3"), F.max("n").alias("n"))
-    n_blocks = F.ceil(F.col("n") / small).cast("long")
-    block = lambda i: F.xxhash64("node", i)
+    pivots = big.groupBy("node").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "sig")).alias(f"p{i}") for i in range(4)], F.max("n").alias("n"))
+    each = F.least(F.lit(2048), F.greatest(F.lit(small), 16 * F.sqrt("n")))
+    n_blocks = F.ceil(F.col("n") / each).cast("long")
+    block = lambda *i: F.xxhash64("node", *i)
     dealt = big.select(block(F.pmod(F.xxhash64("rep"), n_blocks)).alias("node"), "rep", "sig")
     everywhere = pivots.select(F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("i"), "node", F.explode(F.array(*[f"p{i}" for i in range(4)])).alias("p"))
-    compared = leaves.filter(F.col("n") <= small).select("node", "rep", "sig").unionByName(dealt).unionByName(everywhere.select(block(F.col("i")).alias("node"), "p.rep", "p.sig"))
-    compared = settle(compared.distinct())
-    low, sure = threshold - slack, 0.97
-    first = settle(compare_nodes(compared, low, sure, False))
+    compared = settle(leaves.filter(F.col("n") <= small).select("node", "rep", "sig").unionByName(dealt).unionByName(everywhere.select(block(F.col("i")).alias("node"), "p.rep", "p.sig")))
+    first = settle(compare_nodes(compared, low, False))
     links = settle(confirm(first, named, k, percent))
     joined = settle(components(links))
-    # second round: whatever lies in one node and is not joined yet; members of large nodes that are not with a pivot meet all blocks
-    tag = lambda df, key="rep": df.join(joined.withColumnRenamed("node", key), key, "left").withColumn("comp", F.coalesce("component", key)).drop("component")
-    heads = tag(pivots.select("node", "n", F.col("p3.rep").alias("rep"))).select("node", F.col("comp").alias("_main"))
-    stray = tag(big).join(heads, "node").filter("comp <> _main")
-    stray = stray.select(F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("i"), "node", "rep", "sig").select(block(F.col("i")).alias("node"), "rep", "sig")
-    again = tag(compared.unionByName(stray).distinct())
+    # second round: whatever lies in one node and is not joined yet; of nodes in blocks, the members outside the
+    # largest component, in blocks of their own, meet all blocks
+    tag = lambda df: df.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    tagged = settle(tag(big))
+    heads = tagged.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("n"))
+    heads = heads.select("node", F.col("main.comp").alias("_main"), F.ceil((F.col("n") - F.col("main.m")) / each).cast("long").alias("n_stray")).filter("n_stray > 0")
+    parts = tagged.join(heads, "node")
+    spread = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias(name)
+    stray = parts.filter("comp <> _main").select("node", "rep", "sig", "comp", F.pmod(F.xxhash64("rep"), "n_stray").alias("s"), spread(n_blocks, "r"))
+    whole = parts.select("node", "rep", "sig", "comp", spread(F.col("n_stray"), "s"), F.pmod(F.xxhash64("rep"), n_blocks).alias("r"))
+    cells = stray.unionByName(whole).select(block("s", "r").alias("node"), "rep", "sig", "comp")
+    again = tag(leaves.filter(F.col("n") <= small)).select("node", "rep", "sig", "comp").unionByName(cells)
     mixed = again.groupBy("node").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("node")
-    second = settle(compare_nodes(again.join(mixed, "node"), low, sure, True))
+    second = settle(compare_nodes(again.join(mixed, "node"), low, True))
     if not second.isEmpty():
-        joined = settle(components(links.unionByName(confirm_rest(second, joined, named, k, percent))))
+        joined = settle(components(links.unionByName(confirm_rest(second, joined, known, named, k, percent))))
     classes = reps.select("digest", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("_class"))
     out = known.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("_class", "doc_id").alias("component_id"))
-    alone = describe(docs.filter("doc_id IS NULL"), k, threshold, trees).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if rows is not None:
+        name = rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("_id"))
+        first_of = rows.select(F.col("_row").alias("component_id"), F.col("doc_id").alias("_first"))
+        out = out.join(name, "doc_id").join(first_of, "component_id").select(F.col("_id").alias("doc_id"), "n_shingles", F.col("_first").alias("component_id"), "kept")
+    alone = describe(docs.filter("doc_id IS NULL"), k, threshold, trees).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def op2_minhash_neardup(spark, sf_dir: str) -> DataFrame:
