@@ -12,21 +12,23 @@ def byte_size(text: str = "text") -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): documents in id order, cut at equal byte targets.
 
     Law: a document goes to the shard in whose byte range its middle byte lies, so shards are
-    contiguous in id order and each differs from total / n_shards by less than one document at
+    contiguous in that order and each differs from total / n_shards by less than one document at
     either end. slot counts from 0 within a shard. A null text has size 1 and the CRC of the empty
     text; null ids come first; rows with an equal id keep together in order of size and CRC, and
-    each gets a slot of its own. An empty table gives an empty result; other columns are ignored.
+    each gets a slot of its own. order: other columns of docs whose order takes the place of the id's.
+    An empty table gives an empty result; other columns are ignored.
     """
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), byte_size(text_col).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32")
+        F.col(id_col).alias("doc_id"), byte_size(text_col).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+        *(order or []),
     )
     counts = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(byte_size(text_col)).alias("bytes")).first()
     total = counts["bytes"] or 1
-    placed = prefix_sums(sized, ["doc_id", "size", "text_crc32"], {"before": F.col("size"), "row": F.lit(1)}, counts["n"])
+    placed = prefix_sums(sized, order or ["doc_id", "size", "text_crc32"], {"before": F.col("size"), "row": F.lit(1)}, counts["n"])
     # twice the middle byte, so that everything stays whole numbers
     middle = (F.col("before") * 2 + F.col("size")).cast("decimal(38,0)")
     shard = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(2 * total).cast("decimal(38,0)"))).cast("int")
