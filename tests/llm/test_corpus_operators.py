@@ -177,6 +177,29 @@ def test_trees_branch_until_nodes_are_small(spark):
     assert got == {i: (i - 600) * 60 if i >= 600 else i for i in range(610)}
 
 
+def test_a_stray_meets_all_members(spark):
+    """A document linked with one member of a group alone, of which other members are near the threshold."""
+    rng = np.random.default_rng(19)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for _ in range(40):  # near copies of each other
+        w = list(base)
+        for j in rng.choice(100, 4, replace=False):
+            w[j] = f"e{rng.integers(10**9)}"
+        rows.append(w)
+    stray = list(rows[23])
+    own = [j for j in range(100) if rows[23][j] == base[j]]
+    for j in own[:10]:
+        stray[j] = f"s{j}"
+    rows.append(stray)
+    texts = [" ".join(w) for w in rows]
+    truth = brute_components(list(enumerate(texts)), 1, 80)
+    assert truth[40][1] == 0
+    for small in (8, 1024):
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts), 1, 80, small=small).collect()}
+        assert got == {i: c for i, (_, c) in truth.items()}
+
+
 def test_join_parts():
     rng = np.random.default_rng(14)
     for n in (1, 5, 60):
@@ -205,11 +228,11 @@ def test_prefix_sums_and_shards(spark):
     for k, v in rows:
         want[k], total = total, total + v
     assert {r["k"]: r["before"] for r in got.collect()} == want
-    texts = [t for t in AWKWARD if t is None or len(t) < 10_000] * 20
+    texts = AWKWARD * 20
     shards = sharding.shard_by_bytes(frame(spark, texts, [i // 2 for i in range(len(texts))]), 4).collect()
     assert sorted((r["size"], r["text_crc32"]) for r in shards) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in texts)
     sizes = [sum(r["size"] for r in shards if r["shard"] == s) for s in range(4)]
-    assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in shards)
+    assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in shards) and max(r["size"] for r in shards) == 300_001
     for s in range(4):
         assert sorted(r["slot"] for r in shards if r["shard"] == s) == list(range(sum(r["shard"] == s for r in shards)))
     ordered = sorted(shards, key=lambda r: (r["shard"], r["slot"]))
@@ -288,11 +311,11 @@ def test_stages_decide_by_row(spark):
     assert None in {r["doc_id"] for r in corpus_pipeline.mix(spark, rows, SMALL).collect()}
 
 
-def brute_pieces(pieces, word):
-    n = 0
-    while word:
-        k = next((k for k in range(len(word), 0, -1) if word[:k] in pieces), 1)
-        word, n = word[k:], n + 1
+def brute_pieces(pieces, word, longest=200):
+    n = at = 0
+    while at < len(word):
+        at += next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in pieces), 1)
+        n += 1
     return n
 
 
@@ -309,11 +332,12 @@ def test_longest_match():
 def test_token_counts(spark):
     content = tokens.read_vocabulary(spark, tokens.VOCABULARY)
     pieces = set(tokens.parse_ranks(content))
-    texts = [t for t in AWKWARD if t is None or len(t) < 10_000]
+    longest = max(map(len, pieces))
+    texts = AWKWARD
     got = {r["doc_id"]: r for r in tokens.count_tokens(frame(spark, texts), content, memo=3).collect()}
     for i, t in enumerate(texts):
         words = WORD.findall(t or "")
-        assert got[i]["n_words"] == len(words) and got[i]["n_tokens"] == sum(brute_pieces(pieces, b" " + w.encode()) for w in words)
+        assert got[i]["n_words"] == len(words) and got[i]["n_tokens"] == sum(brute_pieces(pieces, b" " + w.encode(), longest) for w in words)
     assert tokens.count_tokens(nothing(spark), content).count() == 0
 
 
@@ -525,6 +549,121 @@ def test_classifiers_awkward(spark):
         assert all(0 <= r["score"] <= 1 for r in score(docs, fit(docs, one)).collect())
 
 
+def plain_ftrl(rows, bits, alpha, beta, l1, l2, epochs, scale, seed):
+    """FTRL-proximal with dictionaries, one weight after the other."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - (l1 if zi > 0 else -l1)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for r in rng.permutation(len(rows)):
+            buckets, label = rows[r]
+            x = {1 << bits: 1.0}
+            for b in buckets.tolist():
+                x[b] = x.get(b, 0.0) + scale / len(buckets)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    return [weight(i) for i in range((1 << bits) + 1)]
+
+
+def test_ftrl_against_plain_updates():
+    rng = np.random.default_rng(15)
+    rows = [(rng.integers(0, 64, int(rng.integers(1, 40))).astype(np.int32), int(rng.integers(0, 2))) for _ in range(30)]
+    model = quality.train_ftrl(rows, bits=6, alpha=0.5, beta=1.0, l1=0.05, l2=0.001, epochs=2, scale=20.0, seed=5)
+    want = plain_ftrl(rows, 6, 0.5, 1.0, 0.05, 0.001, 2, 20.0, 5)
+    assert np.allclose(model.weights, want[:-1], atol=1e-5) and np.isclose(model.bias, want[-1])
+
+
+def plain_tree(x, g, h, cuts, depth, rate, least):
+    """The value that a tree grown by trying every split gives to each row."""
+    out = [-sum(g) / (sum(h) + 1) * rate] * len(g)
+    if depth == 0 or len(g) < 4:
+        return out
+    best = (1e-6, None, None)
+    for j, at in enumerate(cuts):
+        for c in at:
+            left = [i for i in range(len(g)) if x[i][j] <= c]
+            right = [i for i in range(len(g)) if x[i][j] > c]
+            if len(left) < least or len(right) < least:
+                continue
+            side = lambda rows: sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+            gain = side(left) + side(right) - sum(g) ** 2 / (sum(h) + 1)
+            if gain > best[0] + 1e-12:
+                best = (gain, left, right)
+    if best[1] is None:
+        return out
+    for rows in best[1:]:
+        values = plain_tree([x[i] for i in rows], [g[i] for i in rows], [h[i] for i in rows], cuts, depth - 1, rate, least)
+        for i, v in zip(rows, values, strict=True):
+            out[i] = v
+    return out
+
+
+def test_boosting_against_plain_trees():
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(40, 3)).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=40) > 0).astype(float)
+    trees, base = toxicity.boost(x, y, n_trees=4, depth=2, rate=0.15, bins=8)
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 9)[1:-1])) for c in x.T]
+    f = np.full(40, base)
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-f))
+        f = f + plain_tree(x.tolist(), (p - y).tolist(), (p * (1 - p) + 1e-9).tolist(), cuts, 2, 0.15, 2.0)
+    got = toxicity.raw_score(toxicity.ToxicityModel(toxicity.Lexicon((np.zeros(0, np.uint64), np.zeros(0)), {}), trees, base), x)
+    assert np.allclose(got, f, atol=1e-5)
+
+
+def test_isotonic_against_min_max():
+    """Pooling against the formula: the largest over starts of the smallest mean over ends."""
+    rng = np.random.default_rng(17)
+    for _ in range(20):
+        n = int(rng.integers(2, 25))
+        s, y = np.sort(rng.permutation(100)[:n]).astype(float), rng.integers(0, 2, n).astype(float)
+        fit = [max(min(y[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        sizes = {v: sum(abs(u - v) < 1e-12 for u in fit) for v in fit}
+        want = np.maximum.accumulate([(v * sizes[v] + y.mean()) / (sizes[v] + 1) for v in fit])
+        xs, ys = toxicity.isotonic(s, y)
+        assert np.allclose(np.interp(s, xs, ys), want)
+
+
+def plain_lexicon(texts, labels):
+    """Words of toxic texts by log odds, texts that hold them counted one by one."""
+    words = [set(decontamination.term_hashes(t).tolist()) for t in texts]
+    ones, zeros = sum(labels), len(labels) - sum(labels)
+    out = {}
+    for w in set().union(*words):
+        a = sum(w in x for x, k in zip(words, labels, strict=True) if k)
+        b = sum(w in x for x, k in zip(words, labels, strict=True) if not k)
+        odds = np.log((a + 0.25) / (ones + 0.5) / ((b + 0.25) / (zeros + 0.5)))
+        if a >= 2 and odds >= np.log(toxicity.LIST_AT):
+            out[w] = odds
+    return out
+
+
+def test_lexicon(spark):
+    rng = np.random.default_rng(18)
+    labels = [int(x) for x in rng.integers(0, 2, 40)]
+    texts = [" ".join([f"w{x}" for x in rng.integers(0, 30, 12)] + (["vile", "Vile"] if k and rng.random() < 0.7 else [])) for k in labels]
+    rows = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, label int")
+    got = toxicity.learn_lexicon(rows)
+    want = plain_lexicon(texts, labels)
+    assert dict(zip(got.words[0].tolist(), got.words[1].round(9).tolist(), strict=True)) == {w: round(float(x), 9) for w, x in want.items()} and want
+
+
+def test_samples_are_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", 0) for i in range(500)] + [(2, "a", 0), (3, None, 0)], "doc_id long, text string, label int").drop("label")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got = learning.labelled_sample(docs, labels, "toxic", 97, 96, 1).collect()
+    assert len(got) == 2 and {r["label"] for r in got} == {0, 1}
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(3)
     s = rng.normal(size=200)
@@ -547,3 +686,56 @@ def test_pipeline(spark):
     for r in out:
         assert zlib.crc32(docs[r["doc_id"]]["text"].encode()) == r["text_crc32"]
     assert hashlib.sha256(repr(sorted(map(tuple, out))).encode()).hexdigest() == hashlib.sha256(repr(sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect()))).encode()).hexdigest()
+
+
+def tables_with(spark, folder, docs):
+    """A folder of tables in which documents are these rows."""
+    for name in ("labels", "benchmark"):
+        table(spark, SMALL, name).write.parquet(f"{folder}/{name}.parquet")
+    like = table(spark, SMALL, "documents")
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, shard int")
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in like.schema], "shard").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, tables_with(spark, tmp_path, [])).count() == 0
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, empty and long texts, through all stages, with stages held against each other."""
+    import corpus_pipeline
+
+    good = [r["text"] for r in table(spark, SMALL, "documents").orderBy("doc_id").limit(60).collect()]
+    rows = [(i if i % 7 else None, t, "en", f"s{i % 3}" if i % 5 else None, len(t or ""), 1) for i, t in enumerate([*good, *AWKWARD, *good[:5]])]
+    rows += [(900, t, "en", "s0", 1, 1) for t in good[10:14]]
+    sf = tables_with(spark, tmp_path, rows)
+    docs = table(spark, sf, "documents").select(corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == corpus_pipeline.COLUMNS
+        out.write.parquet(f"{tmp_path}/{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
+        have = [(r["doc_id"], r["text"], r["source"]) for r in before.collect()]
+        kept = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+        assert set(kept) <= set(have)
+        if name != "mixing":
+            assert all(kept.count(x) <= have.count(x) for x in kept)
+    shards = corpus_pipeline.shard(spark, docs, sf).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text_crc32"]) for r in shards) == sorted((d is None, d, zlib.crc32((t or "").encode())) for d, t, _ in kept)
+
+
+def test_shards_hold_the_mix_in_its_order(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"w{i} " * 20, f"s{i % 2}") for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    corpus_pipeline.mix(spark, docs, SMALL).write.parquet(f"{tmp_path}/mix")
+    mixed = spark.read.parquet(f"{tmp_path}/mix")
+    shards = corpus_pipeline.shard(spark, mixed, SMALL).collect()
+    share = mixed.filter("source = 's0'").count() / mixed.count()
+    for s in range(8):
+        mine = [r["doc_id"] % 2 == 0 for r in shards if r["shard"] == s]
+        assert abs(sum(mine) / len(mine) - share) < 0.1

@@ -32,6 +32,8 @@ from veilworks.llm.engine import numbered, settle, table
 from veilworks.llm.textbytes import LOWER, flat, mix, rolling, slices, span_hashes, spans
 
 POSITIONS = 64
+#: The mean number of positions by which a node below the root branches.
+BELOW = 1.75
 _A = (mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, POSITIONS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -121,31 +123,33 @@ def branch(nodes: DataFrame) -> DataFrame:
             node, used = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("node", "used"))
             sig = np.stack([np.frombuffer(x, np.uint16) for x in b.column("sig").to_pylist()])
             paths, first, inverse = np.unique(node, return_index=True, return_inverse=True)
-            picks = np.array([chosen(int(p), 2, int(u)) for p, u in zip(paths, used[first], strict=True)])
-            for r in range(picks.shape[1]):
-                position = picks[inverse, r]
+            picks = [chosen(int(p), BELOW, int(u)) for p, u in zip(paths, used[first], strict=True)]
+            for r in range(max(map(len, picks))):
+                position = np.array([p[r] if r < len(p) else -1 for p in picks])[inverse]
+                rows = np.flatnonzero(position >= 0)
+                position = position[rows]
                 base = (position + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                value = sig[np.arange(len(node)), position]
-                child = mix((node ^ base) + mix(value.astype(np.uint64) + np.uint64(1)))
-                now = used | (np.uint64(1) << position.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("rep"), b.column("sig"), pa.array(now.view(np.int64))], ["node", "rep", "sig", "used"])
+                child = mix((node[rows] ^ base) + mix(sig[rows, position].astype(np.uint64) + np.uint64(1)))
+                now = used[rows] | (np.uint64(1) << position.astype(np.uint64))
+                held = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), held.column("rep"), held.column("sig"), pa.array(now.view(np.int64))], ["node", "rep", "sig", "used"])
 
     return nodes.select("node", "rep", "sig", "used").mapInArrow(run, "node long, rep long, sig binary, used long")
 
 
-def crowded(nodes: DataFrame, low: float, share: float) -> DataFrame:
-    """(node) of those of which a `share` of the members or more agrees with one of them, drawn by a hash, in a share `low` of the positions."""
+def with_near(rows: DataFrame, low: float) -> DataFrame:
+    """rows (node, rep, sig, n, used, pivot) with near in place of pivot: 1 if signature and pivot agree in a share `low` of the positions or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                one, other = (np.stack([np.frombuffer(x, np.uint16) for x in b.column(c).to_pylist()]) for c in ("sig", "pivot"))
-                near = (one == other).mean(1) >= low
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(near.astype(np.int64))], ["node", "near"])
+            near = np.zeros(b.num_rows, np.int64)
+            some = np.flatnonzero(b.column("pivot").is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                one, other = (np.stack([np.frombuffer(x, np.uint16) for x in b.column(c).take(pa.array(some)).to_pylist()]) for c in ("sig", "pivot"))
+                near[some] = (one == other).mean(1) >= low
+            yield b.drop_columns(["pivot"]).append_column("near", pa.array(near))
 
-    pivots = nodes.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "sig")).alias("p")).select("node", F.col("p.sig").alias("pivot"))
-    judged = nodes.join(pivots, "node").select("node", "sig", "pivot").mapInArrow(run, "node long, near long")
-    return judged.groupBy("node").agg(F.avg("near").alias("near")).filter(F.col("near") >= share).select("node")
+    return rows.mapInArrow(run, "node long, rep long, sig binary, n long, used long, near long")
 
 
 def join_parts(part: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
@@ -176,16 +180,20 @@ def join_parts(part: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
 
 def node_pairs(rep: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, low: float) -> list[tuple[int, int]]:
     """Candidate pairs of one node: a spanning forest of the pairs that agree in a share `low` of the positions or more,
-    strongest first. Second round (comp given): of the pairs whose components differ."""
+    strongest first. Second round (comp given): of those pairs whose components differ, so that every row of such a pair is in it."""
     order = np.argsort(rep, kind="stable")
     rep, sig = rep[order], sig[order]
-    _, part = np.unique(rep if comp is None else comp[order], return_inverse=True)
+    _, part = np.unique(rep, return_inverse=True)
     agree = np.zeros((len(rep), len(rep)), np.uint8)
     for p in range(POSITIONS):
         agree += sig[:, p, None] == sig[None, :, p]
     least = int(np.ceil(low * POSITIONS))
-    out: list[tuple[int, int]] = []
-    for level in [*range(POSITIONS - 1, least, -4), least] if comp is None else [least]:
+    if comp is not None:
+        comp = comp[order]
+        out = join_parts(part, (agree >= least) & (comp[:, None] != comp[None, :]))
+        return [(int(rep[min(i, j)]), int(rep[max(i, j)])) for i, j in out]
+    out = []
+    for level in [*range(POSITIONS - 1, least, -4), least]:
         out += join_parts(part, agree >= level)
     return [(int(rep[min(i, j)]), int(rep[max(i, j)])) for i, j in out]
 
@@ -310,28 +318,35 @@ def confirm_rest(alike: DataFrame, joined: DataFrame, known: DataFrame, docs: Da
 def grow_trees(reps: DataFrame, roots: list[tuple[int, int]], small: int, low: float, share: float = 0.5) -> DataFrame:
     """(node, rep, sig, n) of the leaves of all trees that hold several representatives.
 
-    A node of more than `small` members branches on, unless at least a `share` of them are near copies (see
-    crowded()). What branches shrinks, by a fixed rate on average, so the depth follows from the largest node's size."""
+    A node of more than `small` members branches on, unless it lies below a root and at least a `share` of
+    its members are near copies of one of them, drawn by a hash. What branches shrinks, by a fixed rate on
+    average, so the depth follows from the largest node's size."""
     bits = F.array(*[F.lit(int(np.array([1 << p], np.uint64).view(np.int64)[0])) for _, p in roots])
     level = reps.select(F.posexplode("roots").alias("_i", "node"), "rep").select("node", "rep", F.element_at(bits, F.col("_i") + 1).alias("used"))
     leaves = None
     while True:
-        crowd = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        pivot = [] if leaves is None else [F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "sig")).alias("p")]
+        crowd = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *pivot).filter("n > 1")
         rows = level.join(crowd, "node")
-        rows = settle((rows.join(reps.select("rep", "sig"), "rep") if leaves is None else rows).select("node", "rep", "sig", "n", "used"))
-        ready = rows.filter(F.col("n") <= small)
-        big = rows.filter(F.col("n") > small)
-        if big.isEmpty():
-            ready = ready.select("node", "rep", "sig", "n")
-            return ready if leaves is None else leaves.unionByName(ready)
-        big = settle(big.join(crowded(big, low, share).withColumn("_dense", F.lit(True)), "node", "left"))
-        done = F.col("_dense").isNotNull() | (F.bit_count("used") > POSITIONS - 2)
-        ready = ready.select("node", "rep", "sig", "n").unionByName(big.filter(done).select("node", "rep", "sig", "n"))
+        if leaves is None:
+            rows = settle(rows.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "n", "used"))
+        else:
+            rows = settle(with_near(rows.select("node", "rep", "sig", "n", "used", F.when(F.col("n") > small, F.col("p.sig")).alias("pivot")), low))
+        columns = ["node", "rep", "sig", "n"]
+        ready, big = rows.filter(F.col("n") <= small).select(columns), rows.filter(F.col("n") > small)
+        if leaves is not None:
+            done = (F.avg("near") >= share) | (F.bit_count(F.max("used")) > POSITIONS - 2)
+            dense = settle(big.groupBy("node").agg(done.alias("done")).filter("done").select("node"))
+            if not dense.isEmpty():
+                ready = ready.unionByName(settle(big.join(dense, "node", "left_semi").select(columns)))
+                big = big.join(dense, "node", "left_anti")
         leaves = ready if leaves is None else leaves.unionByName(ready)
-        level = branch(big.filter(~done))
+        if big.isEmpty():
+            return leaves
+        level = branch(big)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, small: int = 256, slack: float = 0.25) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, small: int = 1024, slack: float = 0.25) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles
@@ -361,7 +376,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     block = lambda *i: F.xxhash64("node", *i)
     dealt = big.select(block(F.pmod(F.xxhash64("rep"), n_blocks)).alias("node"), "rep", "sig")
     everywhere = pivots.select(F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("i"), "node", F.explode(F.array(*[f"p{i}" for i in range(4)])).alias("p"))
-    compared = settle(leaves.filter(F.col("n") <= small).select("node", "rep", "sig").unionByName(dealt).unionByName(everywhere.select(block(F.col("i")).alias("node"), "p.rep", "p.sig")))
+    compared = (leaves.filter(F.col("n") <= small).select("node", "rep", "sig").unionByName(dealt).unionByName(everywhere.select(block(F.col("i")).alias("node"), "p.rep", "p.sig")))
     first = settle(compare_nodes(compared, low, False))
     links = settle(confirm(first, named, k, percent))
     joined = settle(components(links))
