@@ -167,7 +167,7 @@ def place(ids: np.ndarray, keys: np.ndarray, bounds: np.ndarray) -> tuple[np.nda
     return segment, (bounds[segment, 0] == ids) & (bounds[segment, 1] == keys)
 
 
-def compare_with_edits(docs: DataFrame, segment_bytes: int = 16 << 20, most_segments: int = 1 << 16) -> DataFrame:
+def compare_with_edits(docs: DataFrame, segment_bytes: int = 6 << 20, most_segments: int = 1 << 16) -> DataFrame:
     """(doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text replaces the last floor(n_chars / 4) code points by the first as many (or all) of
