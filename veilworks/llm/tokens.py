@@ -137,4 +137,5 @@ def count_tokens(docs: DataFrame, vocabulary: bytes, memo: int = 200_000, longes
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), read_vocabulary(spark, VOCABULARY))
+    """The vocabulary is the file that spark.veilworks.vocabulary names, or the default."""
+    return count_tokens(table(spark, sf_dir, "documents"), read_vocabulary(spark, spark.conf.get("spark.veilworks.vocabulary", VOCABULARY)))
