@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as read back from the session's spark.checkpoint.dir; a temporary folder serves only where that is unset, as in tests."""
+    """df as read back from the session's spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a local session, as in tests; on a cluster it is an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilworks"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilworks"))
     return df.checkpoint()

@@ -12,6 +12,7 @@ import re
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilworks.functions.stores import store_at
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 NOT_FOUND, UNSUPPORTED, ENCRYPTED, BROKEN = "not_found", "unsupported_format", "password_protected", "load_error"
 TEXT_PARTS = re.compile(r"word/(document|footnotes|endnotes|header\d*|footer\d*)\.xml")
@@ -35,21 +38,29 @@ def listed(listing: DataFrame, files: DataFrame) -> DataFrame:
     return listing.select("path").join(files.select("path", "content"), "path", "left")
 
 
-def save_files(files: DataFrame, folder: str) -> None:
-    """Write (path, content) below a folder that all executors share, under the last part of each path.
+def save_files(files: DataFrame, folder: str, root: str | None = None) -> None:
+    """Write (path, content) below a folder that all executors share, in any store that its address names.
 
-    A file appears under its name only when it is whole, so a task that runs again does no harm."""
+    A file goes under its path below `root`, or without one under the last part of its path; two files
+    of one name are an error before anything is written. A file appears under its name only when it is
+    whole, so a task that runs again does no harm."""
+    name = F.regexp_extract("path", "[^/]+$", 0) if root is None else F.expr(f"substr(path, {len(root.rstrip('/')) + 2})")
+    named = files.select("path", name.alias("name"), "content")
+    twice = named.groupBy("name").count().filter("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"several files would be written as {', '.join(sorted(r['name'] for r in twice))}")
 
     def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        store, base = store_at(folder)
         for r in rows:
-            target = os.path.join(folder, os.path.basename(r["path"]))
+            target = f"{base}/{r['name']}"
+            store.create_dir(os.path.dirname(target), recursive=True)
             part = f"{target}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
+            with store.open_output_stream(part) as f:
                 f.write(r["content"])
-            os.replace(part, target)
+            store.move(part, target)
 
-    files.select("path", "content").foreachPartition(write)
+    named.select("name", "content").foreachPartition(write)
 
 
 def parts(files: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -165,10 +176,30 @@ def paragraphs(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, PARAGRAPHS)
 
 
+def joined(parts: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, text): the texts of each key's parts in order, one a line."""
+    return parts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
 def texts(parsed: DataFrame) -> DataFrame:
     """(path, text): non-blank paragraphs on end, one a line."""
-    kept = parsed.filter(F.col("error").isNull() & F.col("text").rlike(r"(?U)\S"))
-    return kept.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return joined(parsed.filter(F.col("error").isNull() & F.col("text").rlike(r"(?U)\S")), "path", "seq")
+
+
+def runs(parsed: DataFrame) -> DataFrame:
+    """(doc_id, seq, location, run_idx, text, size_half_pt, hidden, color_rgb) of the runs that a scan for hidden text reads."""
+    rows = parsed.filter(F.col("error").isNull() & ~F.col("location").rlike("^Section .*Table")).select(F.col("path").alias("doc_id"), "seq", "location", F.posexplode("runs").alias("run_idx", "r"))
+    return rows.filter("r.revision IS NULL").select("doc_id", "seq", "location", "run_idx", "r.text", "r.size_half_pt", "r.hidden", "r.color_rgb")
+
+
+#: The properties that a scan reads, by the names it gives them.
+SCANNED = {"Author": "creator", "Last Modified By": "lastModifiedBy", "Subject": "subject", "Keywords": "keywords", "Comments": "description", "Title": "title", "Category": "category"}
+
+
+def fields(properties: DataFrame) -> DataFrame:
+    """(doc_id, field_no, field, value) of the core properties that a scan reads."""
+    rows = F.array(*[F.struct(F.lit(i).alias("field_no"), F.lit(k).alias("field"), F.coalesce(F.col("core")[v], F.lit("")).alias("value")) for i, (k, v) in enumerate(SCANNED.items())])
+    return properties.select(F.col("path").alias("doc_id"), F.inline(rows))
 
 
 def texts_for_scanning(parsed: DataFrame) -> DataFrame:
@@ -239,6 +270,22 @@ def splice(runs: list[str], lookup: dict[str, str], match_case: bool = False) ->
     return out
 
 
+def collapse(runs: list[str], lookup: dict[str, str], match_case: bool = False) -> list[str]:
+    """Replace over the joined runs and put all of it into the first run, which keeps its looks; without a match the runs stay."""
+    keys = {k.lower(): v for k, v in lookup.items()}
+    pattern = re.compile("|".join(re.escape(k) for k in sorted(lookup, key=len, reverse=True)), re.IGNORECASE)
+    new, n = pattern.subn(lambda m: in_case(m[0], keys.get(m[0].lower(), m[0]), match_case), "".join(runs))
+    return [new, *[""] * (len(runs) - 1)] if n else list(runs)
+
+
+def replace_runs(runs: list[str], lookup: dict[str, str], match_case: bool = False) -> tuple[list[str], bool]:
+    """The runs after replacement, and whether they had to be collapsed: looks are kept where every match can be placed."""
+    try:
+        return splice(runs, lookup, match_case), False
+    except (KeyError, IndexError, StopIteration):
+        return collapse(runs, lookup, match_case), True
+
+
 def transfer_case(original: str, replacement: str) -> str:
     """The replacement in the case of what it replaces; bracketed labels stay as they are."""
     if not original or not replacement or (len(replacement) > 1 and replacement[0] == "[" and replacement[-1] == "]"):
@@ -313,8 +360,18 @@ def strip_metadata(content: bytes, keep_comments: bool = True) -> bytes:
     return edit_parts(content, edit)
 
 
+@contextmanager
+def readable(content: bytes | None) -> Iterator[zipfile.ZipFile | None]:
+    """The archive, or None; an XML part that cannot be parsed ends the block, so that a broken file gives no row and ends no job."""
+    if content is None or not zipfile.is_zipfile(io.BytesIO(bytes(content))):
+        yield None
+        return
+    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z, suppress(ElementTree.ParseError, ValueError, zipfile.BadZipFile):
+        yield z
+
+
 def properties(files: DataFrame) -> DataFrame:
-    """(path, core, app, custom, n_comments): document properties as maps; empty values are absent."""
+    """(path, core, app, custom, n_comments): document properties as maps; empty values are absent; unreadable files have no row."""
 
     def read(z: zipfile.ZipFile, name: str, deep: bool = False) -> dict[str, str]:
         if name not in z.namelist():
@@ -328,9 +385,9 @@ def properties(files: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for path, content in zip(f["path"], f["content"], strict=True):
-                if not zipfile.is_zipfile(io.BytesIO(bytes(content))):
-                    continue
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                with readable(content) as z:
+                    if z is None:
+                        continue
                     n = len(safe_xml(z.read("word/comments.xml")).findall(W + "comment")) if "word/comments.xml" in z.namelist() else 0
                     rows.append((path, read(z, "docProps/core.xml"), read(z, "docProps/app.xml"), read(z, "docProps/custom.xml", True), n))
             yield pd.DataFrame(rows, columns=["path", "core", "app", "custom", "n_comments"])
@@ -339,16 +396,14 @@ def properties(files: DataFrame) -> DataFrame:
 
 
 def comments(files: DataFrame) -> DataFrame:
-    """(path, idx, id, author, initials, date, text) of all comments, paragraphs joined by line breaks."""
+    """(path, idx, id, author, initials, date, text) of all comments, paragraphs joined by line breaks; unreadable files have none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for path, content in zip(f["path"], f["content"], strict=True):
-                if not zipfile.is_zipfile(io.BytesIO(bytes(content))):
-                    continue
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    if "word/comments.xml" in z.namelist():
+                with readable(content) as z:
+                    if z is not None and "word/comments.xml" in z.namelist():
                         for i, c in enumerate(safe_xml(z.read("word/comments.xml")).findall(W + "comment")):
                             text = "\n".join("".join(t.text or "" for t in p.iter(W + "t")) for p in c.iter(W + "p"))
                             rows.append((path, i, c.get(W + "id"), c.get(W + "author", ""), c.get(W + "initials", ""), c.get(W + "date"), text))

@@ -25,6 +25,11 @@ def watch(spark: SparkSession, landing: str, out: str, checkpoint: str, once: bo
 
 
 def progress(docs: DataFrame) -> DataFrame:
-    """(doc_id, step, line): the progress events of each document, then its completion."""
+    """(doc_id, step, line): the progress events of each document, then its completion, as JSON lines.
+
+    A document that could not be loaded (its column `error`, if there is one, is not null) has one event that says so."""
     events = F.array(*[F.struct(F.lit(k).alias("stage"), F.lit(i).alias("step"), F.lit(5).alias("total"), F.lit(m).alias("message")) for i, (k, m) in enumerate([*STEPS, ("complete", "Done")], 1)])
+    if "error" in docs.columns:
+        failed = F.struct(F.lit("error").alias("stage"), F.lit(None).cast("int").alias("step"), F.lit(None).cast("int").alias("total"), F.concat(F.lit("Failed to load document: "), "error").alias("message"))
+        events = F.when(F.col("error").isNull(), events).otherwise(F.array(failed))
     return docs.select("doc_id", F.explode(events).alias("e")).select("doc_id", F.col("e.step").alias("step"), F.to_json("e").alias("line"))
