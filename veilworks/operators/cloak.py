@@ -8,64 +8,129 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilworks.functions.lineage import written
-from veilworks.operators import comments, detect
+from veilworks.operators import comments, detect, security
 from veilworks.operators import dictionary as K
 from veilworks.sources import docx
 
 
+class Plan(NamedTuple):
+    """What a document's cloaking does: keys (doc_id, original, placeholder, ord), all with placeholders of their own;
+    mapping (doc_id, ord, placeholder, original) that leads back; names (doc_id, name) of the cloaked files."""
+
+    keys: DataFrame
+    mapping: DataFrame
+    names: DataFrame
+
+
 class Cloaked(NamedTuple):
-    """files (path, content, n_replaced); mapping (path, original, placeholder); authors (path, author, label)."""
+    """files (path, name, content, n_replaced, error); mapping (path, original, placeholder); authors (path, author, label);
+    findings of the security scan, by path."""
 
     files: DataFrame
     mapping: DataFrame
     authors: DataFrame
-
-
-def as_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """(path, map of key to value) from rows of a file; keys are distinct within it."""
-    entries = F.sort_array(F.collect_list(F.struct(F.col(key), F.col(value))))
-    return rows.filter(F.col(key).isNotNull()).groupBy("path").agg(F.map_from_entries(entries).alias(name))
+    findings: DataFrame
+
+
+def plan(docs: DataFrame, entries: DataFrame, config: DataFrame | None = None) -> Plan:
+    """How docs (doc_id, name, text) are cloaked by entries (doc_id, ord, placeholder, original), and by the short forms of a configuration.
+
+    In this order: suffix-stripped forms, one key for each line, parts of person and company names that the
+    text uses; then the file names, in which forms share their name's placeholder; then a placeholder for each form."""
+    base = written(K.mapping(entries))
+    inverse = K.invert(base)
+    grown = K.expand_suffixes(inverse if config is None else K.short_forms(config, inverse))
+    place = lambda *by: F.row_number().over(Window.partitionBy("doc_id").orderBy(*by)).cast("long")
+    lines = written(K.split_lines(grown.select("doc_id", "original", "placeholder", place("place", "original").alias("ord"))))
+    columns = ["doc_id", "original", "placeholder", "ord", "step"]
+    known = lines.select(columns).withColumn("phase", F.lit(0))
+    known = known.unionByName(K.person_variants(lines, docs).select(columns).withColumn("phase", F.lit(1)))
+    known = written(known)
+    known = known.unionByName(K.company_variants(known, docs).select(columns).withColumn("phase", F.lit(2)))
+    known = written(known.select("doc_id", "original", "placeholder", place("phase", "ord", "step", "original").alias("ord")))
+    keys = written(K.short_placeholders(known.withColumn("step", F.lit(0)), base))
+    own = keys.join(base.select("doc_id", "original").distinct(), ["doc_id", "original"], "left_anti").select("doc_id", (F.col("ord") + 1_000_000).alias("ord"), "placeholder", "original")
+    mapping = base.select("doc_id", F.col("ord").cast("long"), "placeholder", "original").unionByName(own)
+    listed = known.groupBy("doc_id").agg(F.collect_list(F.struct("original", "placeholder")).alias("r"))
+    stem, suffix = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"\.[^.]*$", 0)
+    names = docs.select("doc_id", "name").join(listed, "doc_id", "left").select("doc_id", F.when(F.col("r").isNull(), F.col("name")).otherwise(F.concat(K.clean_filename(stem, F.col("r")), suffix)).alias("name"))
+    return Plan(keys, mapping, names)
+
+
+def cloak_documents(docs: DataFrame, entries: DataFrame | None = None, config: DataFrame | None = None) -> tuple[DataFrame, Plan]:
+    """(doc_id, name, text, n_replaced) of docs (doc_id, name, text) cloaked, and the plan; entries come from the configuration unless given."""
+    steps = plan(docs, K.configured(config) if entries is None else entries, config)
+    text = K.replace_all(docs.select("doc_id", "text"), steps.keys)
+    return steps.names.join(text, "doc_id"), steps
+
+
+def as_map(rows: DataFrame, key: str, value: str, name: str, order: str | None = None) -> DataFrame:
+    """(path, map of key to value) from rows of a file, in order of `order` or of the keys; keys are distinct within it."""
+    entries = F.sort_array(F.collect_list(F.struct(*([order] if order else []), F.col(key).alias("_k"), F.col(value).alias("_v"))))
+    return rows.filter(F.col(key).isNotNull()).groupBy("path").agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["_k"], e["_v"]))).alias(name))
 
 
 def edit_files(files: DataFrame, lookups: DataFrame, authors: DataFrame, mode: str, comment_text: bool, strip: bool) -> DataFrame:
-    """(path, content, n_replaced): each file opened by one worker call for all that changes in it.
+    """(path, content, n_replaced, error): each file opened by one worker call for all that changes in it.
 
-    lookups (path, lookup map) and authors (path, authors map) meet first, so contents are joined once."""
+    lookups (path, lookup map, and for comments words map, if there is one) and authors (path, authors map) meet first, so contents are joined once."""
     plan = lookups.join(authors, "path", "full_outer")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for path, content, lookup, people in zip(f["path"], f["content"], f["lookup"], f["authors"], strict=True):
+            for path, content, lookup, people, words in zip(f["path"], f["content"], f["lookup"], f["authors"], f["words"], strict=True):
                 lookup = dict(lookup or {})
-                data, n = docx.replace_in_parts(bytes(content), lookup)
-                data = docx.edit_comments(data, mode, dict(people or {}), lookup if comment_text else None)
-                rows.append((path, docx.strip_metadata(data) if strip else data, n))
-            yield pd.DataFrame(rows, columns=["path", "content", "n_replaced"])
-
-    return files.select("path", "content").join(plan, "path", "left").select("path", "content", "lookup", "authors").mapInPandas(run, "path string, content binary, n_replaced long")
-
-
-def cloak_files(files: DataFrame, entries: DataFrame | None = None, mode: str = comments.SANITIZE, keep_metadata: bool = False) -> Cloaked:
-    """Cloak files (path, content) by entries (path, ord, placeholder, original), or by the parties that each names.
-
-    Suffix-stripped forms of originals get placeholders of their own. The mapping and the authors are
-    written at once, the files when they are read. A file that cannot be opened ends the job: keep such
-    files out by the errors of docx.paragraphs()."""
-    if entries is None:
-        found = detect.parties(docx.texts(docx.paragraphs(files)).withColumnRenamed("path", "doc_id"))
-        entries = found.select(F.col("doc_id").alias("path"), "ord", F.concat(F.lit("["), "label", F.lit("]")).alias("placeholder"), F.col("name").alias("original"))
-    base = written(K.mapping(entries.withColumnRenamed("path", "doc_id")))
-    keys = written(K.short_placeholders(K.expand_suffixes(K.invert(base)), base).select(F.col("doc_id").alias("path"), "original", "placeholder"))
-    people = written(comments.authors(docx.comments(files).withColumnRenamed("path", "doc_id")).select(F.col("doc_id").alias("path"), "author", "label"))
-    out = edit_files(files, as_map(keys, "original", "placeholder", "lookup"), as_map(people, "author", "label", "authors"), mode, True, not keep_metadata)
-    return Cloaked(out, keys, people if mode == comments.SANITIZE else people.limit(0))
+                try:
+                    data, n = docx.replace_in_parts(bytes(content), lookup)
+                    data = docx.edit_comments(data, mode, dict(people or {}), (dict(words or {}) or lookup) if comment_text else None)
+                    rows.append((path, docx.strip_metadata(data) if strip else data, n, None))
+                except Exception as e:  # a broken file must not end the job: it is reported as a row
+                    rows.append((path, None, 0, str(e)[:200] or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "content", "n_replaced", "error"])
+
+    if "words" not in lookups.columns:
+        plan = plan.withColumn("words", F.lit(None).cast("map<string,string>"))
+    joined = files.select("path", "content").join(plan, "path", "left").select("path", "content", "lookup", "authors", "words")
+    return joined.mapInPandas(run, "path string, content binary, n_replaced long, error string")
+
+
+def parties_of(docs: DataFrame) -> DataFrame:
+    """Entries (doc_id, ord, placeholder, original): the parties that each text names, by their labels."""
+    return detect.parties(docs).select("doc_id", "ord", F.concat(F.lit("["), "label", F.lit("]")).alias("placeholder"), F.col("name").alias("original"))
+
+
+def cloak_files(files: DataFrame, entries: DataFrame | None = None, mode: str = comments.SANITIZE, keep_metadata: bool = False, config: DataFrame | None = None) -> Cloaked:
+    """Cloak files (path, content) by entries (path, ord, placeholder, original), by a configuration (path and the columns of
+    K.configured()), or by the parties that each names.
+
+    Texts, comments, properties and file names change as plan() tells; comments also lose the initialisms of
+    names that the text holds. The mapping, the authors and the findings of the scan are as of the files
+    before. A file that cannot be opened or edited is a row with an error and no content."""
+    by_doc = lambda df: df.withColumnRenamed("path", "doc_id")
+    parsed = written(docx.paragraphs(files))
+    docs = written(by_doc(docx.texts(parsed)).withColumn("name", F.regexp_extract("doc_id", "[^/]+$", 0)))
+    settings = None if config is None else by_doc(config)
+    given = by_doc(entries) if entries is not None else parties_of(docs) if settings is None else K.configured(settings)
+    steps = plan(docs, given, settings)
+    said = steps.keys.select("doc_id", "original", "placeholder", "ord")
+    wide = K.expand_suffixes(said).select("doc_id", "original", "placeholder", "ord")
+    words = wide.unionByName(K.found_initialisms(said, docs).join(wide.select("doc_id", "original"), ["doc_id", "original"], "left_anti").select(wide.columns))
+    people = written(comments.authors(by_doc(docx.comments(files))).select(F.col("doc_id").alias("path"), "author", "label"))
+    by_path = lambda df: df.withColumnRenamed("doc_id", "path")
+    lookups = as_map(by_path(said), "original", "placeholder", "lookup", "ord").join(as_map(by_path(words), "original", "placeholder", "words", "ord"), "path", "full_outer")
+    out = edit_files(files, lookups, as_map(people, "author", "label", "authors"), mode, True, not keep_metadata)
+    names = by_path(steps.names)
+    out = out.join(names, "path", "left").select("path", F.coalesce("name", F.regexp_extract("path", "[^/]+$", 0)).alias("name"), "content", "n_replaced", "error")
+    findings = security.scan(by_doc(docx.texts_for_scanning(parsed)), docx.runs(parsed), docx.fields(docx.properties(files))).withColumnRenamed("doc_id", "path")
+    return Cloaked(out, by_path(said).select("path", "original", "placeholder"), people if mode == comments.SANITIZE else people.limit(0), findings)
 
 
 def uncloak_files(files: DataFrame, mapping: DataFrame, authors: DataFrame) -> DataFrame:
-    """(path, content, n_replaced): placeholders and reviewer labels back to originals, and comments to their authors.
+    """(path, content, n_replaced, error): placeholders and reviewer labels back to originals, and comments to their authors.
 
     Of originals with one placeholder the first by code point stands for all; texts of comments stay as they are."""
     back = mapping.select("path", F.col("placeholder").alias("key"), F.col("original").alias("value"))

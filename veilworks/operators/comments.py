@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilworks.operators.security import COMMENT, COMMENTS_SHOWN, shortened
+
 KEEP, STRIP, SANITIZE = "keep", "strip", "sanitize"
 
 
@@ -21,20 +23,40 @@ def reviewer_label(index: Column) -> Column:
     return F.concat(F.lit("Reviewer "), F.when(index < 26, letter(index)).otherwise(two))
 
 
-def authors(comments: DataFrame) -> DataFrame:
-    """(doc_id, author, n, initials, label) from (doc_id, idx, author, text): labels in order of first comments."""
+def authors(comments: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, author, n, initials, label) from (doc_id, idx, author, text): labels in order of first comments.
+
+    known (doc_id, author, label) fixes labels, of authors that may have no comment; the others' labels then
+    start behind as many letters as the document has such entries."""
     per = comments.filter("author <> ''").groupBy("doc_id", "author").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_idx")) - 1
-    return per.select("doc_id", "author", "n", initials(F.col("author")).alias("initials"), reviewer_label(place.cast("long")).alias("label"))
+    if known is None:
+        per = per.withColumns({"_label": F.lit(None).cast("string"), "_entries": F.lit(0).cast("long")})
+    else:
+        per = per.join(known.select("doc_id", "author", F.col("label").alias("_label")), ["doc_id", "author"], "left")
+        per = per.join(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_entries")), "doc_id", "left").withColumn("_entries", F.coalesce("_entries", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("doc_id", F.col("_label").isNull()).orderBy("first_idx")) - 1
+    label = F.coalesce("_label", reviewer_label(place.cast("long") + F.col("_entries")))
+    return per.select("doc_id", "author", "n", initials(F.col("author")).alias("initials"), label.alias("label"))
+
+
+def counts(comments: DataFrame) -> DataFrame:
+    """(doc_id, n): the comments of each document."""
+    return comments.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_shown(comments: DataFrame, n: int = COMMENTS_SHOWN, limit: int = COMMENT) -> DataFrame:
+    """(doc_id, idx, author, text): the first n comments of each document, with shortened texts, as a report shows them."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))
+    return comments.withColumn("_n", place).filter(F.col("_n") <= n).select("doc_id", "idx", "author", shortened(F.col("text"), limit).alias("text"))
 
 
-def process(comments: DataFrame, mode: str) -> DataFrame:
+def process(comments: DataFrame, mode: str, known: DataFrame | None = None) -> DataFrame:
     """Comments kept, dropped, or with authors by their labels and fitting initials."""
     if mode == STRIP:
         return comments.limit(0)
     if mode == KEEP:
         return comments
-    named = comments.join(authors(comments).select("doc_id", "author", "label"), ["doc_id", "author"], "left")
+    named = comments.join(authors(comments, known).select("doc_id", "author", "label"), ["doc_id", "author"], "left")
     return named.select("doc_id", "idx", F.coalesce("label", "author").alias("author"), initials(F.coalesce("label", "author")).alias("initials"), "text")
 
 

@@ -22,16 +22,31 @@ def extract(docs: DataFrame, specs: list[tuple[str, str, int]], text: str = "tex
     return docs.select("doc_id", F.inline(F.flatten(F.array(*parts))))
 
 
+#: How much of a text the search for parties reads.
+PREAMBLE = 2000
+
+
+def preamble(text: Column) -> Column:
+    return F.substring(text, 1, PREAMBLE)
+
+
+def fragments(text: Column) -> Column:
+    """The lines of a text that are not blank."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)\S"))
+
+
+def first_fragments(text: Column, n: int = 10) -> Column:
+    """The first n lines that are not blank, as a text."""
+    return F.array_join(F.slice(fragments(text), 1, n), "\n")
+
+
 def count_matches(matches: DataFrame) -> DataFrame:
     return matches.groupBy("doc_id", "entity_type", F.col("match").alias("text")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def structured(docs: DataFrame) -> DataFrame:
     """Counts of the seven structured types; URLs inside a found e-mail address of the document are dropped."""
-    counts = count_matches(extract(docs, P.STRUCTURED))
-    mails = counts.filter("entity_type = 'EMAIL'").select("doc_id", F.col("text").alias("_mail"))
-    inside = (F.col("entity_type") == "URL") & F.col("_mail").contains(F.col("text"))
-    return counts.alias("u").join(mails.alias("m"), (F.col("u.doc_id") == F.col("m.doc_id")) & inside, "left_anti").select("doc_id", "entity_type", "text", "count")
+    return _only(docs, range(7))
 
 
 def people(docs: DataFrame) -> DataFrame:
@@ -44,48 +59,23 @@ def dates(docs: DataFrame) -> DataFrame:
     return extract(docs, [("DATE", p, 0) for p in P.DATE.values()])
 
 
-def canonical(matches: DataFrame) -> DataFrame:
-    """(doc_id, entity_type, text, count): equal up to case, shown as first seen."""
-    seen = F.struct("family", "pos")
-    return (
-        matches.groupBy("doc_id", "entity_type", F.lower("match").alias("_key")).agg(F.min_by("match", seen).alias("text"), F.count(F.lit(1)).alias("count")).drop("_key")
-    )
-
+def _only(docs: DataFrame, ords) -> DataFrame:
+    return detect_regex(docs, frozenset(ords)).select("doc_id", "entity_type", "text", "count")
 
-def not_within(candidates: DataFrame, known: DataFrame, both_ways: bool = False) -> DataFrame:
-    """Candidates (doc_id, match) that no known text (doc_id, text) of the document contains, or also that contain none."""
-    k = known.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_known"))
-    hit = F.col("_known").contains(F.col("match"))
-    if both_ways:
-        hit = hit | F.col("match").contains(F.col("_known"))
-    return candidates.join(k, (F.col("doc_id") == F.col("_doc")) & hit, "left_anti")
 
-
-def locations(docs: DataFrame, addresses: DataFrame) -> DataFrame:
+def locations(docs: DataFrame) -> DataFrame:
     """City and state references outside full addresses."""
-    got = extract(docs, [("ADDRESS", p, 1) for p in P.CITY_STATE.values()]).withColumn("match", F.trim("match"))
-    return canonical(not_within(got, addresses))
+    return _only(docs, [9])
 
 
-def streets(docs: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Street addresses that neither lie in a known address nor hold one."""
-    got = extract(docs, [("ADDRESS", P.STREET, 1)]).withColumn("match", F.trim("match"))
-    return canonical(not_within(got, addresses, both_ways=True))
+def streets(docs: DataFrame) -> DataFrame:
+    """Street addresses that neither lie in a known address or location nor hold one."""
+    return _only(docs, [10])
 
 
-def bare_amounts(docs: DataFrame, amounts: DataFrame) -> DataFrame:
+def bare_amounts(docs: DataFrame) -> DataFrame:
     """Amounts without a currency sign after a phrase that announces one; counted as substrings of the text."""
-    found = docs.select("doc_id", "text", F.explode(F.array_distinct(all_matches(F.col("text"), P.BARE_AMOUNT, 1))).alias("_a"))
-    fresh = found.join(amounts.select("doc_id", F.col("text").alias("_a")), ["doc_id", "_a"], "left_anti")
-    times = ((F.length("text") - F.length(F.replace("text", F.col("_a")))) / F.length("_a")).cast("long")
-    return fresh.select("doc_id", F.lit("AMOUNT").alias("entity_type"), F.col("_a").alias("text"), times.alias("count"))
-
-
-def company_matches(docs: DataFrame, text: str = "text", ahead: int = 200) -> DataFrame:
-    """(doc_id, pos, raw, tail): each corporate name and the text after it, which a lookahead hands over unconsumed."""
-    shape = P.COMPANY + rf"(?=([\s\S]{{0,{ahead}}}))"
-    pairs = F.arrays_zip(all_matches(F.col(text), shape, 1).alias("raw"), all_matches(F.col(text), shape, 2).alias("tail"))
-    return docs.select("doc_id", F.posexplode(pairs).alias("pos", "_m")).select("doc_id", "pos", "_m.raw", "_m.tail")
+    return _only(docs, [11])
 
 
 def in_longer_word(tail: Column) -> Column:
@@ -128,18 +118,15 @@ def acceptable_company(name: Column, tail: Column, agreement: bool = True, deter
 
 def companies(docs: DataFrame) -> DataFrame:
     """Corporate names by suffix; matches that fail a filter still use up their text."""
-    name = F.regexp_replace(F.regexp_replace(F.trim("raw"), ",+$", ""), r"\.+$", "")
-    got = company_matches(docs).withColumn("match", name)
-    kept = got.filter(acceptable_company(F.col("match"), F.col("tail")) & ~legal_abbreviation(F.col("match")))
-    return canonical(kept.select("doc_id", F.lit("COMPANY").alias("entity_type"), F.lit(0).alias("family"), "pos", "match"))
+    return _only(docs, [12])
 
 
-def detect_regex(docs: DataFrame) -> DataFrame:
-    """(doc_id, entity_type, text, confidence, count, ord) of every detector, without NER.
+def detect_regex(docs: DataFrame, ords: frozenset[int] = frozenset(range(13))) -> DataFrame:
+    """(doc_id, entity_type, text, confidence, count, ord) of every detector, without NER, or of those named by ords.
 
     ord ranks detectors and breaks ties between types. What one detector leaves to another is decided
-    within the document, on arrays: the text is read once, each pattern runs once, and the only
-    exchange is on doc_id, which all later steps share.
+    within the document, on arrays: the text is read once, each pattern runs once, those that nothing
+    asks for not at all, and the only exchange is on doc_id, which all later steps share.
     """
     kinds = [t.lower() for t, _, _ in P.STRUCTURED]
     text = F.col("text")
@@ -153,8 +140,11 @@ def detect_regex(docs: DataFrame) -> DataFrame:
         "person": family(P.PERSON, 1), "date": family(P.DATE, 0), "city": family(P.CITY_STATE, 1), "street": F.transform(all_matches(text, P.STREET, 1), lambda m: F.trim(m)),
         "bare": F.array_distinct(all_matches(text, P.BARE_AMOUNT, 1)), "raw": all_matches(text, shape, 1), "tail": all_matches(text, shape, 2),
     }
+    needs = {"email": {0, 6}, "amount": {4, 11}, "address": {5, 9, 10}, "url": {6}, "person": {7}, "date": {8}, "city": {9, 10}, "street": {10}, "bare": {11}, "raw": {12}, "tail": {12}}
+    wanted = lambda k: bool(ords & needs.get(k, {kinds.index(k)} if k in kinds else set()))
+    none = F.array().cast("array<string>")
     # a generator between the steps keeps each array computed once
-    got = docs.select("doc_id", "text", F.inline(F.array(F.struct(*[c.alias(k) for k, c in arrays.items()]))))
+    got = docs.select("doc_id", "text", F.inline(F.array(F.struct(*[(c if wanted(k) else none).alias(k) for k, c in arrays.items()]))))
     absent = lambda known, hit: ~F.exists(known, hit)
     city = F.filter("city", lambda c: absent(F.col("address"), lambda a: a.contains(c)))
     company = F.filter(
@@ -182,13 +172,12 @@ def detect_regex(docs: DataFrame) -> DataFrame:
         return F.transform(values, row)
 
     substring_count = lambda m: ((F.length("text") - F.length(F.replace("text", m))) / F.length(m)).cast("long")
-    every = F.flatten(
-        F.array(
-            *[rows(F.col(k), t, i, 1.0) for i, (k, (t, _, _)) in enumerate(zip(kinds, P.STRUCTURED, strict=True))],
-            rows(F.col("person"), "PERSON", 7, 1.0), rows(F.col("date"), "DATE", 8, 1.0), rows(F.col("city"), "ADDRESS", 9, 0.9), rows(street, "ADDRESS", 10, 0.9),
-            rows(F.col("bare"), "AMOUNT", 11, 0.9, substring_count), rows(F.col("company"), "COMPANY", 12, 1.0),
-        )
-    )
+    parts = [
+        *[rows(F.col(k), t, i, 1.0) for i, (k, (t, _, _)) in enumerate(zip(kinds, P.STRUCTURED, strict=True))],
+        rows(F.col("person"), "PERSON", 7, 1.0), rows(F.col("date"), "DATE", 8, 1.0), rows(F.col("city"), "ADDRESS", 9, 0.9), rows(street, "ADDRESS", 10, 0.9),
+        rows(F.col("bare"), "AMOUNT", 11, 0.9, substring_count), rows(F.col("company"), "COMPANY", 12, 1.0),
+    ]
+    every = F.flatten(F.array(*[p for i, p in enumerate(parts) if i in ords]))
     found = got.select("doc_id", F.inline(every)).repartition("doc_id")
     key = F.when(F.col("ord").isin(9, 10, 12), F.lower("match")).otherwise(F.col("match"))
     return (
@@ -258,8 +247,8 @@ def resembles_name(label: Column, name: Column) -> Column:
 
 def parties(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, name, label, defined_term): the parties that the first 2000 characters name."""
-    text, label_after = F.substring("text", 1, 2000), "(?Ud)" + P.LABEL_AFTER
-    shape = P.COMPANY + r"(?=([\s\S]{0,2000}))"
+    text, label_after = preamble(F.col("text")), "(?Ud)" + P.LABEL_AFTER
+    shape = P.COMPANY + rf"(?=([\s\S]{{0,{PREAMBLE}}}))"
     arrays = {
         "raw": all_matches(text, shape, 1), "tail": all_matches(text, shape, 2),
         "term": all_matches(text, P.DEFINED_TERM, 1), "meant": all_matches(text, P.DEFINED_TERM, 2), "dear": all_matches(text, P.DEAR, 1),

@@ -18,6 +18,32 @@ def collide(config: DataFrame) -> DataFrame:
     return config.withColumn("b_label", F.when(same, renamed).otherwise(F.col("b_label")))
 
 
+def configured(config: DataFrame) -> DataFrame:
+    """(doc_id, ord, placeholder, original): what a configuration names, in the order in which later entries win.
+
+    config: doc_id, a_name, a_label, b_name, b_label, and arrays that may be null: additional (placeholder,
+    original), a_aliases and b_aliases (name, label). Additional entries come first, then party A, party B
+    under a label of its own, and the aliases of each."""
+    entry = lambda label, name: F.struct(F.concat(F.lit("["), label, F.lit("]")).alias("placeholder"), name.alias("original"))
+    none = F.array().cast("array<struct<placeholder:string,original:string>>")
+    aliases = lambda c: F.coalesce(F.transform(c, lambda a: entry(a["label"], a["name"])), none)
+    c = collide(config)
+    every = F.concat(F.coalesce("additional", none), F.array(entry(F.col("a_label"), F.col("a_name")), entry(F.col("b_label"), F.col("b_name"))), aliases("a_aliases"), aliases("b_aliases"))
+    rows = c.select("doc_id", F.posexplode(every).alias("ord", "e"))
+    return rows.select("doc_id", F.col("ord").cast("long").alias("ord"), "e.placeholder", "e.original").filter("original <> ''")
+
+
+def short_forms(config: DataFrame, inverse: DataFrame) -> DataFrame:
+    """Replacements (doc_id, ord, original, placeholder) with the short forms that a configuration (a_short, b_short: arrays of
+    names) gives its parties; they share their party's placeholder, what is there already stays, and the first wins."""
+    c = collide(config)
+    part = lambda names, label: F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.struct(n.alias("original"), F.concat(F.lit("["), F.col(label), F.lit("]")).alias("placeholder")))
+    rows = c.select("doc_id", F.posexplode(F.concat(part(F.col("a_short"), "a_label"), part(F.col("b_short"), "b_label"))).alias("_i", "e"))
+    new = rows.select("doc_id", "_i", "e.original", "e.placeholder").filter("original <> ''").join(inverse.select("doc_id", "original"), ["doc_id", "original"], "left_anti")
+    new = new.groupBy("doc_id", "original").agg(F.min("_i").alias("_i"), F.min_by("placeholder", "_i").alias("placeholder"))
+    return inverse.select("doc_id", "ord", "original", "placeholder").unionByName(new.select("doc_id", (F.col("_i") + 1_000_000).cast("long").alias("ord"), "original", "placeholder"))
+
+
 def mapping(entries: DataFrame) -> DataFrame:
     """(doc_id, ord, placeholder, original): of entries with one placeholder the last wins, at the place of the first."""
     return entries.filter("original <> ''").groupBy("doc_id", "placeholder").agg(F.min("ord").alias("ord"), F.max_by("original", "ord").alias("original"))
@@ -28,21 +54,26 @@ def invert(mappings: DataFrame) -> DataFrame:
     return mappings.groupBy("doc_id", "original").agg(F.min("ord").alias("ord"), F.max_by("placeholder", "ord").alias("placeholder"))
 
 
-def suffix_forms(name: Column, depth: int = 4) -> Column:
-    """The names that stripping one corporate suffix after another gives, longest first, without the name itself."""
-    forms, now = [], name
-    for _ in range(depth):
-        now = strip_suffix(now)
-        forms.append(now)
-    return F.filter(F.array_distinct(F.array(*forms)), lambda x: (x != "") & (x != name))
+def suffix_forms(name: Column) -> Column:
+    """The names that stripping one corporate suffix after another gives, longest first, without the name itself.
+
+    A name of n words loses at least one with each suffix, so n steps reach the form that has none left."""
+    def strip(forms: Column, _: Column) -> Column:
+        return F.concat(forms, F.array(strip_suffix(F.element_at(forms, -1))))
+
+    forms = F.aggregate(F.sequence(F.lit(1), F.size(F.split(name, r"(?U)\s+"))), F.array(name), strip)
+    return F.filter(F.array_distinct(forms), lambda x: (x != "") & (x != name))
 
 
 def expand_suffixes(replacements: DataFrame) -> DataFrame:
-    """Replacements and all their suffix-stripped forms; nothing that is there is overwritten, the first comes first."""
+    """(doc_id, original, placeholder, ord, step, place): replacements and all their suffix-stripped forms.
+
+    Nothing that is there is overwritten, the first comes first; place puts forms behind all that was there."""
     base = replacements.select("doc_id", "ord", F.lit(-1).alias("step"), "original", "placeholder")
     more = replacements.select("doc_id", "ord", F.posexplode(suffix_forms(F.col("original"))).alias("step", "original"), "placeholder")
-    first = F.struct(F.when(F.col("step") < 0, 0).otherwise(1), "ord", "step")
-    return base.unionByName(more).groupBy("doc_id", "original").agg(F.min_by("placeholder", first).alias("placeholder"), F.min("ord").alias("ord"), F.min("step").alias("step"))
+    place = F.struct(F.when(F.col("step") < 0, 0).otherwise(1).alias("new"), F.col("ord").cast("long").alias("ord"), "step")
+    grown = base.unionByName(more).groupBy("doc_id", "original")
+    return grown.agg(F.min_by("placeholder", place).alias("placeholder"), F.min(place).alias("place")).select("doc_id", "original", "placeholder", "place.ord", "place.step", "place")
 
 
 def initialisms(name: Column) -> Column:
@@ -53,6 +84,13 @@ def initialisms(name: Column) -> Column:
     return F.when(F.size(words) >= 2, F.filter(F.array(full, shorter), lambda x: x.isNotNull() & (F.length(x) >= 2))).otherwise(F.array().cast("array<string>"))
 
 
+def found_initialisms(replacements: DataFrame, docs: DataFrame) -> DataFrame:
+    """New entries (doc_id, original, placeholder, ord): initialisms of the names that the text holds in any case; the first name wins."""
+    cand = replacements.select("doc_id", "ord", "placeholder", F.posexplode(initialisms(F.col("original"))).alias("step", "original"))
+    cand = cand.join(replacements.select("doc_id", "original"), ["doc_id", "original"], "left_anti").join(docs.select("doc_id", F.upper("text").alias("_upper")), "doc_id").filter(F.contains("_upper", "original"))
+    return cand.groupBy("doc_id", "original").agg(F.min_by("placeholder", F.struct("ord", "step")).alias("placeholder"), F.min("ord").alias("ord"))
+
+
 def phrases(words: Column) -> Column:
     """All contiguous runs of words shorter than the whole, by length and place."""
     n = F.size(words)
@@ -74,11 +112,12 @@ def _variants(replacements: DataFrame, docs: DataFrame, kind: str, words: Column
     forms = phrases(F.col("_w")) if more is None else F.array_distinct(F.concat(phrases(F.col("_w")), F.when(F.size("_w") > 1, F.array(more)).otherwise(F.array().cast("array<string>"))))
     cand = own.select("doc_id", "ord", "placeholder", F.posexplode(forms).alias("step", "original")).filter(keep(F.col("original")) & (F.length("original") >= 3))
     cand = cand.join(replacements.select("doc_id", "original"), ["doc_id", "original"], "left_anti").join(docs.select("doc_id", "text"), "doc_id").filter(found(F.col("text"), F.col("original")))
-    return cand.groupBy("doc_id", "original").agg(F.min_by("placeholder", F.struct("ord", "step")).alias("placeholder"), F.min("ord").alias("ord"))
+    first = F.struct("ord", "step")
+    return cand.groupBy("doc_id", "original").agg(F.min_by("placeholder", first).alias("placeholder"), F.min(first).alias("place")).select("doc_id", "original", "placeholder", F.col("place.ord").alias("ord"), F.col("place.step").alias("step"))
 
 
 def person_variants(replacements: DataFrame, docs: DataFrame) -> DataFrame:
-    """New entries (doc_id, original, placeholder, ord): parts of [Person-n] names that the text uses as words."""
+    """New entries (doc_id, original, placeholder, ord, step): parts of [Person-n] names that the text uses as words."""
     words = F.filter(F.split("original", r"(?U)\s+"), lambda w: (w != "") & ~w.rlike(r"^[A-Z]\.?$"))
     first_last = F.concat_ws(" ", F.element_at(F.col("_w"), 1), F.element_at(F.col("_w"), -1))
     found = lambda text, x: whole_word(text, x) | whole_word(text, F.upper(x))
@@ -92,20 +131,24 @@ def company_variants(replacements: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def split_lines(replacements: DataFrame) -> DataFrame:
-    """Keys of several lines become one key for each line; the first wins."""
+    """(doc_id, original, placeholder, ord, step): keys of several lines become one key for each line, step its place; the first wins."""
     lines = replacements.select("doc_id", "ord", "placeholder", F.posexplode(F.split("original", "\n")).alias("step", "original"), F.col("original").contains("\n").alias("_cut"))
     lines = lines.withColumn("original", F.when(F.col("_cut"), F.trim("original")).otherwise(F.col("original"))).filter("original <> ''")
-    return lines.groupBy("doc_id", "original").agg(F.min_by("placeholder", F.struct("ord", "step")).alias("placeholder"), F.min(F.struct("ord", "step"))["ord"].alias("ord"))
+    first = F.struct("ord", "step")
+    return lines.groupBy("doc_id", "original").agg(F.min_by("placeholder", first).alias("placeholder"), F.min(first).alias("f")).select("doc_id", "original", "placeholder", "f.ord", "f.step")
 
 
 def short_placeholders(expanded: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Every key that is no original of the mapping gets a placeholder of its own: [X-Short], [X-Short-2] and so on."""
-    base = mappings.select("doc_id", "original", F.lit(True).alias("_base"))
-    rows = expanded.join(base, ["doc_id", "original"], "left")
+    """Every key that is no original of the mapping gets a placeholder of its own: [X-Short], [X-Short-2] and so on, without those the mapping has."""
+    base = mappings.select("doc_id", "original", F.lit(True).alias("_base")).distinct()
+    taken = mappings.groupBy("doc_id").agg(F.collect_set("placeholder").alias("_taken"))
+    rows = expanded.join(base, ["doc_id", "original"], "left").join(taken, "doc_id", "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<string>")))
     w = Window.partitionBy("doc_id", "placeholder", F.col("_base").isNull()).orderBy("ord", "step", "original")
-    n = F.row_number().over(w)
-    short = F.concat(F.expr("substr(placeholder, 1, length(placeholder) - 1)"), F.lit("-Short"), F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.lit("]"))
-    return rows.select("doc_id", "original", F.when(F.col("_base"), F.col("placeholder")).otherwise(short).alias("placeholder"))
+    rows = rows.withColumn("_n", F.row_number().over(w))
+    stem = F.concat(F.expr("substr(placeholder, 1, length(placeholder) - 1)"), F.lit("-Short"))
+    names = F.transform(F.sequence(F.lit(1), F.col("_n") + F.size("_taken")), lambda i: F.concat(stem, F.when(i > 1, F.concat(F.lit("-"), i.cast("string"))).otherwise(""), F.lit("]")))
+    short = F.element_at(F.filter(names, lambda x: ~F.array_contains("_taken", x)), F.col("_n"))
+    return rows.select("doc_id", "original", F.when(F.col("_base"), F.col("placeholder")).otherwise(short).alias("placeholder"), "ord")
 
 
 def dictionary(replacements: DataFrame) -> DataFrame:
@@ -128,23 +171,33 @@ def cased(originals: Column, replacements: Column) -> Column:
     return F.udf(each, "array<string>", useArrow=True)(originals, replacements)
 
 
-def rewrite(text: Column, pattern: Column, lookup: Column, match_case: bool = False) -> Column:
-    """Replace all matches at once, leftmost first, longest key first; what the map lacks stays.
+def rewritten(text: Column, pattern: Column, lookup: Column, match_case: bool = False) -> Column:
+    """(text, n) with all matches replaced at once, leftmost first, longest key first; what the map lacks stays.
 
-    match_case gives a replacement the case of what it replaces, which takes a worker's title-case rules."""
+    The pattern runs over the text twice: for what it matches, and for what lies between. match_case gives
+    a replacement the case of what it replaces, which takes a worker's title-case rules."""
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    new = F.transform(hits, lambda m: F.coalesce(F.try_element_at(lookup, F.lower(m)), m))
+
+    def joined(hits: Column, new: Column) -> Column:
+        return F.array_join(F.zip_with(between, new, lambda s, m: F.concat(F.coalesce(s, F.lit("")), F.coalesce(m, F.lit("")))), "")
+
     if match_case:
-        new = cased(hits, new)
-    joined = F.zip_with(between, new, lambda s, m: F.concat(F.coalesce(s, F.lit("")), F.coalesce(m, F.lit(""))))
-    return F.when(pattern.isNull(), text).otherwise(F.array_join(joined, ""))
+        known = F.transform(hits, lambda m: F.coalesce(F.try_element_at(lookup, F.lower(m)), m))
+        return F.struct(joined(hits, cased(hits, known)).alias("text"), F.size(hits).alias("n"))
+    # both come out of one array of pairs, so the matches are looked for once
+    pairs = F.zip_with(between, hits, lambda s, m: F.struct(F.coalesce(s, F.lit("")).alias("s"), m.alias("m")))
+    empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
+    put = lambda m: F.coalesce(F.try_element_at(lookup, F.lower(m)), m, F.lit(""))
+    return F.aggregate(pairs, empty, lambda acc, p: F.struct(F.concat(acc["text"], p["s"], put(p["m"])).alias("text"), (acc["n"] + F.when(p["m"].isNull(), 0).otherwise(1)).alias("n")))
 
 
 def replace_all(docs: DataFrame, replacements: DataFrame, match_case: bool = False) -> DataFrame:
     """docs with text rewritten and the number of replacements (n_replaced); documents without entries stay."""
     d = docs.join(dictionary(replacements), "doc_id", "left")
-    n = F.when(F.col("pattern").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))).cast("long")
-    return d.withColumn("n_replaced", n).withColumn("text", rewrite(F.col("text"), F.col("pattern"), F.col("lookup"), match_case)).drop("pattern", "lookup")
+    new = F.when(F.col("pattern").isNull(), F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))).otherwise(rewritten(F.col("text"), F.col("pattern"), F.col("lookup"), match_case))
+    # a generator between the steps keeps the rewrite computed once
+    d = d.select(*[c for c in docs.columns if c != "text"], F.inline(F.array(new)).alias("text", "n_replaced"))
+    return d.select(*docs.columns, F.col("n_replaced").cast("long"))
 
 
 def leaks(docs: DataFrame, terms: DataFrame) -> DataFrame:

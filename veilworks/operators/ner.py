@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilworks.functions import patterns as P
@@ -30,7 +30,15 @@ def loaded(load: Callable):
         return None
 
 
-def predictions(docs: DataFrame, load: Callable, max_chars: int = 200_000) -> DataFrame:
+MAX_CHARS = 200_000
+
+
+def limited(text: Column, max_chars: int = MAX_CHARS) -> Column:
+    """What a model reads of a text: its first max_chars characters; 0 for all."""
+    return F.left(text, F.lit(max_chars)) if max_chars else text
+
+
+def predictions(docs: DataFrame, load: Callable, max_chars: int = MAX_CHARS) -> DataFrame:
     """(doc_id, chunk_no, text, label, score) of load().predict_entities over the chunks of each text.
 
     load runs once a worker; without a model there are no rows. max_chars limits what the model reads of
@@ -42,14 +50,14 @@ def predictions(docs: DataFrame, load: Callable, max_chars: int = 200_000) -> Da
         for f in frames:
             rows = []
             for doc, text in zip(f["doc_id"], f["text"], strict=True):
-                for n, (chunk, _) in enumerate(pack((text or "")[: max_chars or None]) if model else ()):
+                for n, (chunk, _) in enumerate(pack(text or "") if model else ()):
                     rows += [(doc, n, p["text"], p["label"], float(p["score"])) for p in model.predict_entities(chunk, LABELS, threshold=least, flat_ner=True)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "text", "label", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, text string, label string, score double")
+    return docs.select("doc_id", limited(F.col("text"), max_chars).alias("text")).mapInPandas(run, "doc_id long, chunk_no int, text string, label string, score double")
 
 
-def entities(docs: DataFrame, load: Callable, max_chars: int = 200_000) -> DataFrame:
+def entities(docs: DataFrame, load: Callable, max_chars: int = MAX_CHARS) -> DataFrame:
     """(doc_id, entity_type, text, confidence, count, ord) as the other detectors give them; stretches that
     chunks share count in each."""
     kept = spans.by_label_threshold(predictions(docs, load, max_chars)).withColumn("text", spans.accept(F.col("text"), F.col("entity_type"))).filter("text IS NOT NULL")

@@ -34,6 +34,13 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] <= b["end"]) & (b["start"] <= a["end"])
 
 
+def overlapping(candidates: DataFrame) -> DataFrame:
+    """(doc_id, a_start, a_end, b_start, b_end): the pairs of a document's spans that overlap, the earlier first; spans of one start are no pair."""
+    span = lambda p: F.struct(F.col("start"), F.col("end")).alias(p)
+    pairs = candidates.select("doc_id", span("a")).join(candidates.select("doc_id", span("b")), "doc_id").filter((F.col("a.start") < F.col("b.start")) & overlaps(F.col("a"), F.col("b")))
+    return pairs.select("doc_id", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("start", "end")])
+
+
 def greedy(candidates: DataFrame) -> DataFrame:
     """The highest-scoring spans that do not overlap, by document; ties go to the earlier span."""
     item = F.struct((-F.col("score")).alias("neg"), "start", "end", "label", "score")

@@ -28,7 +28,7 @@ FIRST = ["Ada", "Boris", "Clara", "Dmitri", "Elena", "Felix", "Grace", "Hugo"]
 LAST = ["Archer", "Bennett", "Calder", "Dorsey", "Ellison", "Foster", "Granger", "Hobbs", "Ingram"]
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 
-_FIELDS = f"""SELECT o_orderkey AS doc_id, o_orderkey AS k, o_custkey AS c,
+FIELDS = f"""SELECT o_orderkey AS doc_id, o_orderkey AS k, o_custkey AS c,
  {_pick('o_orderkey', W1)} AS w1, {_pick('o_custkey', W2)} AS w2, {_pick('o_orderkey', SUFFIXES)} AS sa,
  {_pick('o_custkey + 3', W1)} AS w3, {_pick('o_orderkey + 2', W2)} AS w4, {_pick('o_custkey + 1', SUFFIXES)} AS sb,
  {_pick('o_custkey', FIRST)} AS fn, {_pick('o_orderkey', LAST)} AS ln, {_pick('o_orderkey', MONTHS)} AS mo,
@@ -55,7 +55,7 @@ _LINES = [
     "w1 || ' ' || w2 || ' shall pay ' || upper(w1) || ' ' || upper(w2) || ' notes; ' || fn || ' and ' || ln || ' agree.'",
 ]
 #: (doc_id, text), with {orders} for the table of orders.
-CONTRACTS = "SELECT doc_id, k, c, " + " || chr(10) || ".join(f"({x})" for x in _LINES) + f" AS text FROM ({_FIELDS}) AS fields"
+CONTRACTS = "SELECT doc_id, k, c, " + " || chr(10) || ".join(f"({x})" for x in _LINES) + f" AS text FROM ({FIELDS}) AS fields"
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,21 +110,9 @@ CONTRACT_ALL = f"WITH {CONTRACTS_CTE}, " + ALL_CTE.replace("{structured}", STRUC
 _NUMBERED = "SELECT doc_id, entity_type, text, count, confidence, '[' || upper(left(entity_type, 1)) || lower(substr(entity_type, 2)) || '-' || row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY count DESC, text) || ']' AS placeholder FROM "
 
 
-def _addresses(docs):
-    return D.structured(docs).filter("entity_type = 'ADDRESS'")
-
-
-add("h11_city_state", lambda s, d: (lambda c: D.locations(c, _addresses(c)))(contracts(s, d)), CONTRACT_ALL + " SELECT doc_id, entity_type, text, count FROM cities")
-
-
-def _streets(s, d):
-    c = contracts(s, d)
-    a = _addresses(c)
-    return D.streets(c, a.unionByName(D.locations(c, a).select(*a.columns)))
-
-
-add("h12_street", _streets, CONTRACT_ALL + " SELECT doc_id, entity_type, text, count FROM roads")
-add("h8_bare_amount", lambda s, d: (lambda c: D.bare_amounts(c, D.structured(c).filter("entity_type = 'AMOUNT'")))(contracts(s, d)), CONTRACT_ALL + " SELECT doc_id, entity_type, text, CAST(count AS BIGINT) AS count FROM bare")
+add("h11_city_state", lambda s, d: D.locations(contracts(s, d)), CONTRACT_ALL + " SELECT doc_id, entity_type, text, count FROM cities")
+add("h12_street", lambda s, d: D.streets(contracts(s, d)), CONTRACT_ALL + " SELECT doc_id, entity_type, text, count FROM roads")
+add("h8_bare_amount", lambda s, d: D.bare_amounts(contracts(s, d)), CONTRACT_ALL + " SELECT doc_id, entity_type, text, CAST(count AS BIGINT) AS count FROM bare")
 add("h13_company", lambda s, d: D.companies(contracts(s, d)), CONTRACT_ALL + " SELECT doc_id, entity_type, text, count FROM companies")
 add("h19_detect_regex", lambda s, d: D.detect_regex(contracts(s, d)), CONTRACT_ALL + " SELECT doc_id, entity_type, text, confidence, CAST(count AS BIGINT) AS count, ord FROM every")
 add("d4_dedup", lambda s, d: D.merge(D.detect_regex(contracts(s, d))), CONTRACT_ALL + " SELECT * FROM merged")

@@ -8,7 +8,8 @@ import zipfile
 from pyspark.sql import functions as F
 
 from veilworks.functions import patterns as P
-from veilworks.operators import chunks, comments, sessions, spans
+from veilworks.operators import chunks, comments, ner, sessions, spans
+from veilworks.operators import detect as D
 from veilworks.operators import dictionary as K
 from veilworks.plans.cloaking import DICT_CTE, entries
 from veilworks.plans.contracts import CONTRACTS_CTE, contracts
@@ -25,6 +26,10 @@ def add(name: str, query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
+#: A character that is not white space, for RE2.
+BLANK = r"[^\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def view(sql: str, *tables: str):
     return lambda s, d: s.sql(sql, **{t: s.read.parquet(f"{d}/{t}.parquet") for t in tables})
 
@@ -39,7 +44,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_idx)
 authors AS (SELECT doc_id, author, n, {_INITIALS.format(x='author')} AS initials, 'Reviewer ' || CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) ELSE chr(CAST(64 + i // 26 AS INTEGER)) || chr(CAST(65 + i % 26 AS INTEGER)) END AS label FROM placed)"""
 add("d8_comment_authors", lambda s, d: comments.authors(_comments(s, d)).select("doc_id", "author", "n", "initials"), f"WITH {COMMENTS_CTE} SELECT doc_id, author, n, initials FROM authors")
 add("e4_reviewer_labels", lambda s, d: comments.authors(_comments(s, d)).select("doc_id", "author", "label"), f"WITH {COMMENTS_CTE} SELECT doc_id, author, label FROM authors")
-add("d9_comment_count", lambda s, d: _comments(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {COMMENTS_CTE} SELECT doc_id, count(*) AS n FROM comments GROUP BY 1")
+add("d9_comment_count", lambda s, d: comments.counts(_comments(s, d)), f"WITH {COMMENTS_CTE} SELECT doc_id, count(*) AS n FROM comments GROUP BY 1")
 add("j8_sanitize_comments", lambda s, d: comments.process(_comments(s, d), comments.SANITIZE), f"WITH {COMMENTS_CTE} SELECT doc_id, idx, label AS author, {_INITIALS.format(x='label')} AS initials, text FROM comments JOIN authors USING (doc_id, author)")
 add("j8_strip_comments", lambda s, d: comments.process(_comments(s, d), comments.STRIP), f"WITH {COMMENTS_CTE} SELECT * FROM comments LIMIT 0")
 add(
@@ -47,6 +52,19 @@ add(
     lambda s, d: (lambda c: comments.restore(comments.process(c, comments.SANITIZE), comments.authors(c)))(_comments(s, d)),
     f"WITH {COMMENTS_CTE} SELECT doc_id, idx, author, {_INITIALS.format(x='author')} AS initials, text FROM comments",
 )
+_KNOWN = "SELECT DISTINCT conv_id AS doc_id, 'assistant' AS author, 'Model' AS label FROM {conversations} WHERE conv_id % 2 = 0 UNION ALL SELECT DISTINCT conv_id, 'nobody', 'Absent' FROM {conversations} WHERE conv_id % 3 = 0"
+add(
+    "e4_explicit_labels",
+    lambda s, d: comments.authors(_comments(s, d), view(_KNOWN, "conversations")(s, d)).select("doc_id", "author", "label"),
+    f"""WITH {COMMENTS_CTE}, known AS ({_KNOWN.format(conversations='conversations')}), sizes AS (SELECT doc_id, count(*) AS n FROM known GROUP BY doc_id),
+new AS (SELECT doc_id, author, row_number() OVER (PARTITION BY doc_id ORDER BY first_idx) - 1 AS i FROM per p WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.doc_id = p.doc_id AND k.author = p.author))
+SELECT doc_id, author, k.label FROM per JOIN known k USING (doc_id, author) UNION ALL SELECT doc_id, author, 'Reviewer ' || chr(CAST(65 + i + coalesce(n, 0) AS INTEGER)) FROM new LEFT JOIN sizes USING (doc_id)""",
+)
+add(
+    "f8_comment_previews",
+    lambda s, d: comments.first_shown(_comments(s, d)),
+    f"WITH {COMMENTS_CTE} SELECT doc_id, idx, author, CASE WHEN length(text) > 80 THEN left(text, 77) || '...' ELSE text END AS text FROM comments QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idx) <= 5",
+)
 add("j13_escape_xml", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", comments.escape_xml(F.col("html")).alias("x")), "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS x FROM pages")
 _XML = "SELECT o_orderkey AS doc_id, '<w:p><w:commentRangeStart w:id=\"' || CAST(o_orderkey AS STRING) || '\"/><w:t>' || o_orderpriority || '</w:t><w:commentRangeEnd w:id=\"1\"/><w:r><w:commentReference w:id=\"1\"/></w:r></w:p>' AS xml FROM {orders}"
 add("j9_strip_anchors", lambda s, d: view(_XML, "orders")(s, d).select("doc_id", comments.strip_anchors(F.col("xml")).alias("xml")), f"WITH x AS ({_XML.format(orders='orders')}) SELECT doc_id, regexp_replace(xml, '<w:comment(RangeStart|RangeEnd|Reference)[^>]*/>', '', 'g') AS xml FROM x")
@@ -72,7 +90,7 @@ add(
 )
 add(
     "c10_overlap",
-    lambda s, d: (lambda c: c.alias("a").join(c.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.start") < F.col("b.start")) & (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end"))).select(F.col("a.doc_id").alias("doc_id"), F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end"), F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end")))(_dec(s, d)),
+    lambda s, d: spans.overlapping(_dec(s, d)),
     f"WITH {LOGITS} SELECT a.doc_id, a.start AS a_start, a.\"end\" AS a_end, b.start AS b_start, b.\"end\" AS b_end FROM dec a JOIN dec b ON a.doc_id = b.doc_id AND a.start < b.start AND a.start <= b.\"end\" AND b.start <= a.\"end\"",
 )
 add(
@@ -112,7 +130,23 @@ SELECT doc_id, CASE WHEN kind = 'COMPANY' THEN c ELSE text END AS text FROM x WH
    AND NOT (bare = upper(bare) AND bare <> lower(bare) AND length(bare) BETWEEN 2 AND 5 AND NOT lower(bare) IN {in_list(P.SUFFIX_WORDS)})
  ELSE NOT lower(text) IN {in_list(P.ADDRESS_BLOCK)} AND regexp_matches(text, '[0-9]') END""",
 )
-QUERIES["e8_chunks"] = lambda s, d: chunks.chunk(s.read.parquet(f"{d}/documents.parquet"))
+#: a: the open chunk's first sentence, i: the sentence to come; a full chunk leaves the longest run of last sentences within the overlap.
+_CHUNKS = r"""WITH RECURSIVE sentences AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE regexp_matches(text, '\S')),
+tokens AS (SELECT doc_id, ss, list_transform(ss, lambda s: list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) AS ws FROM sentences),
+sized AS (SELECT doc_id, ss, ws, list_transform(ws, lambda w: len(w)) AS ns FROM tokens),
+walk AS (
+  SELECT doc_id, 1::BIGINT AS i, 1::BIGINT AS a, 0::BIGINT AS pos, CAST([] AS STRUCT(c VARCHAR, o BIGINT)[]) AS done FROM sized
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN long_ THEN i + 1 WHEN full_ THEN rest ELSE a END,
+    CASE WHEN long_ THEN begin_ + length(array_to_string(ws[i], ' ')) + 1 WHEN full_ THEN pos + length(body) + CASE WHEN rest < i THEN -length(array_to_string(ss[rest:i - 1], ' ')) ELSE 1 END ELSE pos END,
+    list_concat(done, CASE WHEN (long_ AND a < i) OR (full_ AND NOT long_) THEN [{'c': body, 'o': pos}] ELSE [] END,
+      CASE WHEN long_ THEN list_transform(range(0, ns[i], 300), lambda j: {'c': array_to_string(ws[i][j + 1:j + 350], ' '), 'o': begin_ + CASE WHEN j > 0 THEN length(array_to_string(ws[i][1:j], ' ')) + 1 ELSE 0 END}) ELSE [] END)
+  FROM (SELECT *, pos + CASE WHEN a < i THEN length(body) + 1 ELSE 0 END AS begin_ FROM (
+    SELECT w.*, ss, ws, ns, ns[i] > 350 AS long_, a < i AND list_sum(ns[a:i - 1]) + ns[i] > 350 AS full_, array_to_string(ss[a:i - 1], ' ') AS body,
+      coalesce(list_min(list_filter(range(a, i), lambda k: list_sum(ns[k:i - 1]) <= 50)), i) AS rest FROM walk w JOIN sized USING (doc_id) WHERE i <= len(ns)))),
+ended AS (SELECT doc_id, CASE WHEN a < i THEN list_append(done, {'c': array_to_string(ss[a:i - 1], ' '), 'o': pos}) ELSE done END AS cs FROM walk JOIN sized USING (doc_id) WHERE i = len(ns) + 1)
+SELECT doc_id, CAST(n - 1 AS INTEGER) AS chunk_no, CAST(cs[n].o AS INTEGER) AS "offset", cs[n].c AS chunk FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS n FROM ended)"""
+add("e8_chunks", lambda s, d: chunks.chunk(s.read.parquet(f"{d}/documents.parquet")), _CHUNKS)
 
 # sessions and uploads: events
 _SESSIONS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'bad stamp' WHEN 1 THEN CAST(NULL AS STRING) WHEN 2 THEN '2026-01-15T10:00:00+0000' ELSE '2026-01-13T10:00:00+0000' END AS created FROM {events}"""
@@ -133,23 +167,32 @@ add(
     f"WITH x AS ({_IDS2.format(events='events')}) SELECT event_id, name, length FROM x WHERE lower(name) LIKE '%.docx' AND length <= 104857600",
 )
 QUERIES["n1_create_sessions"] = lambda s, d: sessions.create(s, 100)
-add("n5_progress", lambda s, d: ingest.progress(contracts(s, d)).select("doc_id", "step"), f"WITH {CONTRACTS_CTE} SELECT doc_id, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM contracts")
+_LOADED = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 0 THEN 'load_error' END AS error FROM {orders}"
+_EVENTS = ", ".join("{" + f"'step': {i}, 'stage': {lit(k)}, 'message': {lit(m)}" + "}" for i, (k, m) in enumerate([*ingest.STEPS, ("complete", "Done")], 1))
+add(
+    "n5_progress",
+    lambda s, d: ingest.progress(view(_LOADED, "orders")(s, d)),
+    f"""WITH l AS ({_LOADED.format(orders='orders')}), e AS (SELECT doc_id, unnest([{_EVENTS}]) AS e FROM l WHERE error IS NULL)
+SELECT doc_id, CAST(e.step AS INTEGER) AS step, '{{"stage":"' || e.stage || '","step":' || CAST(e.step AS VARCHAR) || ',"total":5,"message":"' || e.message || '"}}' AS line FROM e
+UNION ALL SELECT doc_id, NULL, '{{"stage":"error","message":"Failed to load document: ' || error || '"}}' FROM l WHERE error IS NOT NULL""",
+)
 
 # first lines and limits
-add("f5_preamble", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.substring("text", 1, 2000).alias("preamble")), "SELECT doc_id, left(text, 2000) AS preamble FROM documents")
-add("f7_ner_limit", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.left("text", F.lit(1000)).alias("ner_text")), "SELECT doc_id, left(text, 1000) AS ner_text FROM documents")
+add("f5_preamble", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", D.preamble(F.col("text")).alias("preamble")), "SELECT doc_id, left(text, 2000) AS preamble FROM documents")
+add("f7_ner_limit", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", ner.limited(F.col("text")).alias("ner_text")), "SELECT doc_id, left(text, 200000) AS ner_text FROM documents")
 add(
     "f6_first_fragments",
-    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 10), "\n").alias("head")),
-    "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:10], chr(10)) AS head FROM documents",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", D.first_fragments(F.col("text")).alias("head")),
+    f"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {lit(BLANK)}))[1:10], chr(10)) AS head FROM documents",
 )
 add(
     "d11_assemble",
-    lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text")),
+    lambda s, d: docx.joined(s.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn"),
     "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
 )
 
 # mapping files
+add("f8_mapping_preview", lambda s, d: mappings.first_entries(K.mapping(entries(s, d)), 1), f"WITH {DICT_CTE} SELECT doc_id, placeholder, original FROM mapping QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord, placeholder) <= 1")
 _built = lambda s, d: mappings.build(K.mapping(entries(s, d)), F.concat(F.col("doc_id").cast("string"), F.lit(".docx")), F.lit("2026-01-15T10:00:00Z"))
 add("a9_mapping_source", lambda s, d: mappings.entries(mappings.from_json(mappings.to_json(_built(s, d)))), f"WITH {DICT_CTE} SELECT doc_id, placeholder, original FROM mapping")
 add(

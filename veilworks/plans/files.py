@@ -13,10 +13,11 @@ from veilworks.functions import patterns as P
 from veilworks.operators import cloak, comments, ner, security, sessions
 from veilworks.operators import detect as D
 from veilworks.operators import dictionary as K
-from veilworks.plans.cloaking import _META_SQL, _RUN_SQL
+from veilworks.functions.lineage import written
+from veilworks.plans.cloaking import _META_SQL, _RANK, _RUN_SQL, FINDINGS_CTE, SHORTS_CTE, rewrite_sql
 from veilworks.plans.contracts import CONTRACTS_CTE, contracts
 from veilworks.plans.detection import _NUMBERED, _STOP, CONTRACT_ALL, PARTY_CTE
-from veilworks.plans.documents import build_docx, docx_files, view
+from veilworks.plans.documents import BLANK, build_docx, docx_files, view
 from veilworks.plans.sql import lit
 from veilworks.sources import docx
 
@@ -30,11 +31,10 @@ def add(name: str, query, sql: str | None = None) -> None:
 
 
 # --- filters of detectors ----------------------------------------------------------------------
-_BLANK = r"[^\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 add(
     "b1_non_blank",
-    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?U)\S"))).cast("long").alias("n")),
-    f"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {lit(_BLANK)}))) AS BIGINT) AS n FROM documents",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(D.fragments(F.col("text"))).cast("long").alias("n")),
+    f"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {lit(BLANK)}))) AS BIGINT) AS n FROM documents",
 )
 _CANDIDATES = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN 'New  York Jane' WHEN 1 THEN 'Jane Trust' WHEN 2 THEN 'Janet Newman' WHEN 3 THEN 'jane Roe' WHEN 4 THEN 'new York' ELSE 'Trusty Banks' END AS name FROM {orders}"""
 _people = view(_CANDIDATES, "orders")
@@ -158,13 +158,19 @@ _REPLACED = "regexp_replace(regexp_replace(text, 'services agreement', '[SA]', '
 add("k16_xml_replace", lambda s, d: (lambda f: docx.texts(docx.paragraphs(docx.rewrite_files(f, _lookup(f)))))(docx_files(s, d)), _C + f"{_REPLACED} AS text FROM contracts")
 
 
-def _splice(s, d):
-    cut = lambda t: docx.splice([t[:25], t[25:60], t[60:63], t[63:]], {"vendor": "[V]", "services agreement": "[SA]"})
-    runs = contracts(s, d).select("doc_id", F.udf(cut, "array<string>", useArrow=True)("text").alias("runs"))
-    return runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.array_join("runs", "").alias("text"))
+_RUNS = """SELECT o_orderkey AS doc_id, split(CASE o_orderkey % 4 WHEN 0 THEN 'Pay ACME|;| Cor|;|p now; acme too' WHEN 1 THEN 'ac|;|m|;|e|;|acme corp' WHEN 2 THEN 'nothing |;|here' ELSE 'Acme' END, '[|];[|]') AS runs FROM {orders}"""
+_CUT = {"acme corp": "[AC]", "acme": "[A]"}
 
 
-add("k13_splice_runs", _splice, f"WITH {CONTRACTS_CTE} SELECT doc_id, CAST(4 AS BIGINT) AS n_runs, {_REPLACED} AS text FROM contracts")
+def _run_query(replace):
+    def query(s, d):
+        return view(_RUNS, "orders")(s, d).select("doc_id", F.array_join(F.udf(lambda r: replace(list(r), _CUT), "array<string>", useArrow=True)("runs"), "|").alias("runs"))
+
+    return query
+
+
+add("k13_splice_runs", _run_query(docx.splice), "SELECT o_orderkey AS doc_id, ['Pay [AC]||  now; [A] too', '[A]|||[AC]', 'nothing |here', '[A]'][o_orderkey % 4 + 1] AS runs FROM orders".replace("||  now", "|| now"))
+add("k14_collapse_runs", _run_query(docx.collapse), "SELECT o_orderkey AS doc_id, ['Pay [AC] now; [A] too||', '[A][AC]|||', 'nothing |here', '[A]'][o_orderkey % 4 + 1] AS runs FROM orders")
 _CASED = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'see ACME now' WHEN 1 THEN 'see acme now' WHEN 2 THEN 'see Acme Corp now' WHEN 3 THEN 'see Acme corp now' ELSE 'none' END AS text FROM {orders}"
 _entry = lambda df: df.select("doc_id", F.explode(F.array(F.struct(F.lit("acme").alias("original"), F.lit(1).alias("ord")), F.struct(F.lit("acme corp").alias("original"), F.lit(2).alias("ord")))).alias("e")).select("doc_id", "e.*", F.lit("beta gamma").alias("placeholder"))
 add(
@@ -200,30 +206,44 @@ def _sanitised(s, d):
 
 
 add("j10_sanitise_files", _sanitised, f"WITH {CONTRACTS_CTE} " + _SAID.format(path=_PATH, a="'Reviewer A'", ai="'RA'", b="'Reviewer B'", bi="'RB'", t="'ask the [V] '"))
-QUERIES["j8_strip_files"] = lambda s, d: docx.properties(docx.process_comments(full_files(s, d), comments.STRIP)).select("path", "n_comments")
-SQL["j8_strip_files"] = _C + "CAST(0 AS BIGINT) AS n_comments FROM contracts"
+def _stripped(s, d):
+    out = docx.process_comments(full_files(s, d), comments.STRIP)
+    return docx.properties(out).select("path", "n_comments").join(docx.texts(docx.paragraphs(out)), "path")
+
+
+add("j8_strip_files", _stripped, _C + "CAST(0 AS BIGINT) AS n_comments, text FROM contracts")
 
 
 def _round_trip(s, d):
-    files = full_files(s, d)
+    files = written(full_files(s, d))
     hidden = cloak.cloak_files(files)
-    back = cloak.uncloak_files(hidden.files, hidden.mapping, hidden.authors)
-    text = docx.texts(docx.paragraphs(back)).select("path", F.lower("text").alias("_back"))
+    back = written(cloak.uncloak_files(hidden.files, hidden.mapping, hidden.authors))
+    text = docx.texts(docx.paragraphs(back)).select("path", F.lower("text").alias("text"))
     people = docx.comments(back).groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("author")), "|").alias("authors"))
-    was = docx.texts(docx.paragraphs(files)).select("path", F.lower("text").alias("_was"))
-    return was.join(text, "path").join(people, "path").select("path", (F.col("_was") == F.col("_back")).alias("same"), "authors")
+    return text.join(people, "path")
 
 
-add("l1_uncloak_files", _round_trip, _C + f"true AS same, 'Bob & Co|' || {_JANE} AS authors FROM contracts")
+add("l1_uncloak_files", _round_trip, _C + f"lower(text) AS text, 'Bob & Co|' || {_JANE} AS authors FROM contracts")
 
 
-def _leaks(s, d):
-    hidden = cloak.cloak_files(full_files(s, d))
-    text = docx.texts(docx.paragraphs(hidden.files)).withColumnRenamed("path", "doc_id")
-    return K.leaks(text, hidden.mapping.select(F.col("path").alias("doc_id"), F.col("original").alias("term"))).agg(F.count(F.lit(1)).alias("n_leaks"))
+def _cloaked(s, d):
+    hidden = cloak.cloak_files(written(full_files(s, d)))
+    out = written(hidden.files)
+    said = docx.comments(out).filter("idx = 0").select("path", F.col("author"), F.col("text").alias("said"))
+    return docx.texts(docx.paragraphs(out)).join(out.select("path", "name", "n_replaced", "error"), "path").join(said, "path")
 
 
-add("k18_cloak_files", _leaks, "SELECT CAST(0 AS BIGINT) AS n_leaks")
+add(
+    "k18_cloak_files",
+    _cloaked,
+    f"""WITH {SHORTS_CTE}, {rewrite_sql('hidden', 'contracts', 'shorts')} SELECT {_PATH}, text, {_PATH.replace('AS path', 'AS name')}, n_replaced, CAST(NULL AS VARCHAR) AS error, 'Reviewer A' AS author,
+ 'ask the vendor ' || CAST(doc_id AS VARCHAR) AS said FROM hidden""",
+)
+add(
+    "i14_file_findings",
+    lambda s, d: (lambda f: cloak.cloak_files(f).findings.select("path", "place", "threat_level", "finding_type", "location", "description", "content_preview", "recommendation"))(written(full_files(s, d))),
+    f"""WITH {FINDINGS_CTE} SELECT {_PATH}, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, detector, seq, ord) AS place, threat_level, finding_type, location, description, content_preview, recommendation FROM findings""",
+)
 add(
     "k19_preview",
     lambda s, d: (lambda t: D.detect(t, D.parties(t)))(docx.texts(docx.paragraphs(docx_files(s, d))).withColumnRenamed("path", "doc_id")),
