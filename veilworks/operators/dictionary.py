@@ -171,33 +171,23 @@ def cased(originals: Column, replacements: Column) -> Column:
     return F.udf(each, "array<string>", useArrow=True)(originals, replacements)
 
 
-def rewritten(text: Column, pattern: Column, lookup: Column, match_case: bool = False) -> Column:
-    """(text, n) with all matches replaced at once, leftmost first, longest key first; what the map lacks stays.
-
-    The pattern runs over the text twice: for what it matches, and for what lies between. match_case gives
-    a replacement the case of what it replaces, which takes a worker's title-case rules."""
-    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-
-    def joined(hits: Column, new: Column) -> Column:
-        return F.array_join(F.zip_with(between, new, lambda s, m: F.concat(F.coalesce(s, F.lit("")), F.coalesce(m, F.lit("")))), "")
-
-    if match_case:
-        known = F.transform(hits, lambda m: F.coalesce(F.try_element_at(lookup, F.lower(m)), m))
-        return F.struct(joined(hits, cased(hits, known)).alias("text"), F.size(hits).alias("n"))
-    # both come out of one array of pairs, so the matches are looked for once
-    pairs = F.zip_with(between, hits, lambda s, m: F.struct(F.coalesce(s, F.lit("")).alias("s"), m.alias("m")))
-    empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
-    put = lambda m: F.coalesce(F.try_element_at(lookup, F.lower(m)), m, F.lit(""))
-    return F.aggregate(pairs, empty, lambda acc, p: F.struct(F.concat(acc["text"], p["s"], put(p["m"])).alias("text"), (acc["n"] + F.when(p["m"].isNull(), 0).otherwise(1)).alias("n")))
-
-
 def replace_all(docs: DataFrame, replacements: DataFrame, match_case: bool = False) -> DataFrame:
-    """docs with text rewritten and the number of replacements (n_replaced); documents without entries stay."""
+    """docs with text rewritten and the number of replacements (n_replaced); documents without entries stay.
+
+    All matches are replaced at once, leftmost first, longest key first; what the map lacks stays. The
+    pattern runs over a text twice: for what it matches, and for what lies between. match_case gives a
+    replacement the case of what it replaces, which takes a worker's title-case rules."""
     d = docs.join(dictionary(replacements), "doc_id", "left")
-    new = F.when(F.col("pattern").isNull(), F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))).otherwise(rewritten(F.col("text"), F.col("pattern"), F.col("lookup"), match_case))
-    # a generator between the steps keeps the rewrite computed once
-    d = d.select(*[c for c in docs.columns if c != "text"], F.inline(F.array(new)).alias("text", "n_replaced"))
-    return d.select(*docs.columns, F.col("n_replaced").cast("long"))
+    cut = F.struct(F.split("text", F.col("pattern"), -1).alias("_between"), F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("_hits"))
+    # a generator between the steps keeps the matches computed once
+    d = d.select("*", F.inline(F.array(cut)))
+    new = F.transform("_hits", lambda m: F.coalesce(F.try_element_at("lookup", F.lower(m)), m))
+    if match_case:
+        new = cased(F.col("_hits"), new)
+    text = F.array_join(F.zip_with("_between", new, lambda s, m: F.concat(F.coalesce(s, F.lit("")), F.coalesce(m, F.lit("")))), "")
+    known = F.col("pattern").isNotNull()
+    d = d.withColumn("n_replaced", F.when(known, F.size("_hits")).otherwise(0).cast("long")).withColumn("text", F.when(known, text).otherwise(F.col("text")))
+    return d.select(*docs.columns, "n_replaced")
 
 
 def leaks(docs: DataFrame, terms: DataFrame) -> DataFrame:
