@@ -3,12 +3,13 @@
 Documents are sets of word shingles. Equal sets are one class from the start; what follows works on
 one representative of each. A tree branches the representatives by tokens of their minwise
 signature: at the root a few signature positions are chosen, 1 / threshold of them on average, below
-it two in each node, by the node's path; a representative goes on to the child named by its value
+it 1.75 on average, by the node's path; a representative goes on to the child named by its value
 there. Branching goes on until a node is small, or until half of its members are near copies of one of
 them, by their signatures. Small nodes are compared exhaustively on signatures; independent trees
-repeat this. A pair at the threshold 0.8 is missed by the trees with a probability of about 1e-7
-(a branch of the root keeps it with 0.75, there are 12 or more), and by signatures that agree in fewer
-than 36 of 64 positions with 4e-6, at any size. Every link is confirmed on the full sets of both texts.
+repeat this. A pair at the threshold 0.8 is missed by all 11 root branches of 10 trees with a probability
+of 2e-8 where their nodes are small, and of about 6e-6 where they branch on again and again (a branch then
+keeps it with 0.67), and by signatures that agree in fewer than 36 of 64 positions with 4e-6, at any size;
+closer pairs are missed less. Every link is confirmed on the full sets of both texts.
 
 What a group of near copies costs stays in proportion to its size: a node gives a spanning forest of
 its strongest candidates. A second round compares, within each node, all that confirmed links have not
